@@ -17,6 +17,19 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, _table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def byte_bpe() -> str:
+    """Where the shared vocabulary lies; a parameter of the operators, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalake.llm.bpe import bpe_digest
+
+    return bpe_digest(_table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
