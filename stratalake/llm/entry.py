@@ -30,6 +30,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalake.llm.decontaminate import contaminated
+
+    return contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), rate=0.05)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalake.llm.langid_ecoc import classify, fit, held_out
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(spark, docs.where(~held_out("doc_id", 3, 1)))
+    return classify(spark, docs.withColumn("held_out", held_out("doc_id", 3, 1)), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
