@@ -44,6 +44,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark, docs.withColumn("held_out", held_out("doc_id", 3, 1)), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalake.llm.license_scan import license_scan
+
+    return license_scan(spark, _table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalake.llm.langid_ecoc import held_out
+    from stratalake.llm.quality_rff import quality
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality(spark, docs, labels, held_out("doc_id", 5, 0)).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
