@@ -58,9 +58,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark, docs, labels, held_out("doc_id", 5, 0)).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalake.llm.line_dedup import dedup_lines
+
+    return dedup_lines(spark, _table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted", "n_left")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from stratalake.llm import line_dedup
+
+    return {"op3_line_dedup": line_dedup.SQL}
