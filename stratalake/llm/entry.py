@@ -64,6 +64,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(spark, _table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted", "n_left")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalake.llm.html_extract import extract_text
+
+    return extract_text(spark, _table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
