@@ -50,6 +50,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalake.llm.token_counts import token_counts
+
+    return token_counts(spark, _table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalake.llm.langid_ecoc import held_out
     from stratalake.llm.quality_rff import quality
