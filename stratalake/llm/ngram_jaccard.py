@@ -3,12 +3,12 @@
 Every text becomes the set of its distinct word shingles (64-bit hashes). Two texts link when
 100 * |A & B| >= percent * |A | B|. The steps, all distributed:
 
-1. count each shingle over the whole corpus (32-bit slots of the hash, counted in packed partitions) and fold the
-   frequent ones into a fixed-size table of levels; rare shingles come first in the order (level, hash);
+1. count each shingle over the whole corpus (32 bits of the hash, counted in packed partitions) and fold the counts into
+   a table of levels of a fixed size; rare shingles come first in the order (level, hash). Any order gives right results;
 2. compute each text's set size, set key and prefix: the first n - ceil(t n) + 1 shingles in that order;
 3. texts with one set form a class, classes with one prefix and size form a group;
-4. groups that share a prefix shingle, directly or through others, form a family (components over pivots, linear in the
-   number of postings); every linked pair lies in one family;
+4. groups that share a prefix shingle and fit by size, directly or through others, form a family (components over edges
+   that are linear in the number of postings); every linked pair lies in one family;
 5. families are split into blocks by size band and salt; each pair of blocks filters pairs of groups by their prefixes
    and sizes, expands the groups that are left to their members, and verifies the members' whole sets by matrix products.
 
@@ -31,10 +31,14 @@ from stratalake.llm.common import WHITE_SPACE, hash_words, materialise, mix, shi
 from stratalake.llm.components import connected_components
 
 CHUNK = 1 << 19
-#: Slots of the table of levels, and of the filter of documents whose sets are needed: both are of this size at most.
-SLOT_BITS = 20
-FREQUENT = 32
-BLOCK = 256
+#: The table of levels has so many bits of slots, a byte each, whatever the corpus.
+SLOT_BITS = 24
+#: The same for the filter of texts whose whole sets are needed.
+FILTER_BITS = 20
+#: Posting lists up to this length give their pairs, longer ones a chain.
+SHORT = 24
+#: Classes a block.
+BLOCK = 1024
 
 
 def _sets(batch_text: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -47,17 +51,14 @@ def _sets(batch_text: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarra
         yield a, [np.unique(h[o[i] : o[i + 1]]) for i in range(b - a)]
 
 
-def _frequent_slots(spark: SparkSession, docs: DataFrame, size: int, n_parts: int) -> np.ndarray:
-    """A level (0: rare, else log2 of the count) for each slot, the top SLOT_BITS bits of a hash."""
+def _levels(spark: SparkSession, docs: DataFrame, size: int, part_bits: int) -> np.ndarray:
+    """A level (0: one text has it, else log2 of the number of texts) for each slot, the top SLOT_BITS bits of a hash."""
+    n_parts = 1 << part_bits
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[np.ndarray]) -> pa.RecordBatch:
             keys, counts = np.unique((np.concatenate(held) >> np.uint64(32)).astype(np.uint32), return_counts=True)
-            # the low bits deal the keys to parts: the high bits are the slot
-            part = keys % np.uint32(n_parts)
-            order = np.argsort(part, kind="stable")
-            keys, counts, part = keys[order], counts[order], part[order]
-            cut = np.searchsorted(part, np.arange(n_parts + 1))
+            cut = np.searchsorted(keys >> np.uint32(32 - part_bits), np.arange(n_parts + 1))
             rows = [(p, keys[i:j].tobytes(), c.astype(np.uint32).tobytes() if (c := counts[i:j]).max() > 1 else None) for p in range(n_parts) if (i := cut[p]) < (j := cut[p + 1])]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "keys", "counts"])
 
@@ -65,7 +66,7 @@ def _frequent_slots(spark: SparkSession, docs: DataFrame, size: int, n_parts: in
         for batch in batches:
             for _, sets in _sets(batch.column(0), size):
                 held += [s for s in sets if len(s)]
-                n = sum(map(len, held)) if len(held) < 64 else n + sum(map(len, sets))
+                n += sum(map(len, sets))
                 if n >= 1 << 21:
                     yield flush(held)
                     held, n = [], 0
@@ -73,29 +74,27 @@ def _frequent_slots(spark: SparkSession, docs: DataFrame, size: int, n_parts: in
             yield flush(held)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                keys.append(np.frombuffer(k, np.uint32))
-                counts.append(np.frombuffer(c, np.uint32) if c is not None else np.ones(len(k) // 4, np.uint32))
-        if not keys:
-            return
-        k, c = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(k)
-        k, c = k[order], c[order]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        total = np.add.reduceat(c.astype(np.int64), first)
-        hot = total >= FREQUENT
-        slot = (k[first][hot] >> np.uint32(32 - SLOT_BITS)).astype(np.int32)
-        level = np.log2(total[hot]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(level)], names=["slot", "level"])
+            for part, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held.setdefault(part, []).append((np.frombuffer(k, np.uint32), np.frombuffer(c, np.uint32) if c is not None else np.ones(len(k) // 4, np.uint32)))
+        for part, rows in held.items():
+            k, c = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.argsort(k)
+            k, c = k[order], c[order]
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            total = np.add.reduceat(c.astype(np.int64), first)
+            table = np.zeros(1 << (SLOT_BITS - part_bits), np.uint8)
+            slot = (k[first] >> np.uint32(32 - SLOT_BITS)).astype(np.int64) & (len(table) - 1)
+            np.maximum.at(table, slot, np.log2(total).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["part", "levels"])
 
     counted = docs.select("text").mapInArrow(packed, "part int, keys binary, counts binary")
-    found = counted.repartition(n_parts, "part").mapInArrow(merged, "slot int, level int").groupBy("slot").agg(F.max("level").alias("level"))
-    table = np.zeros(1 << SLOT_BITS, np.uint8)
-    got = found.toPandas()  # one row a slot at most
-    table[got["slot"].to_numpy(np.int64)] = got["level"].to_numpy(np.int64)
-    return table
+    found = counted.repartition(n_parts, "part").mapInArrow(merged, "part int, levels binary")
+    table = np.zeros((n_parts, 1 << (SLOT_BITS - part_bits)), np.uint8)
+    for row in found.toLocalIterator():  # one row a part, 2 ** SLOT_BITS bytes in all
+        table[row["part"]] = np.frombuffer(row["levels"], np.uint8)
+    return table.reshape(-1)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -108,37 +107,47 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return int(a.sum().view(np.int64) if len(s) else 0), int(np.bitwise_xor.reduce(b).view(np.int64) if len(s) else 0)
 
 
-def _verify(percent: int):
-    """For one pair of blocks: filter group pairs by prefix and size, expand, verify."""
-
-    def overlap(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
-        """Sizes of the intersections of each row's with each column's values."""
-        out = np.zeros((len(rows), len(cols)), np.float32)
-        if not rows or not cols:
-            return out
-        ra, ca = np.concatenate(rows), np.concatenate(cols)
-        values = np.intersect1d(ra, ca)
-        if not len(values):
-            return out
-        ri, ci = np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.repeat(np.arange(len(cols)), [len(x) for x in cols])
-
-        def placed(v: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(values, v), len(values) - 1)
-            ok = values[at] == v
-            at, i = at[ok], i[ok]
-            order = np.argsort(at, kind="stable")
-            return at[order], i[order]
-
-        (rv, ri), (cv, ci) = placed(ra, ri), placed(ca, ci)
-        step = 8192
-        for a in range(0, len(values), step):
-            x, y = np.zeros((len(rows), step), np.float32), np.zeros((len(cols), step), np.float32)
-            i, j = np.searchsorted(rv, [a, a + step])
+def _overlap(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each row's with each column's values."""
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    if not rows or not cols:
+        return out
+    ra, ca = np.concatenate(rows), np.concatenate(cols)
+    ri, ci = np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.repeat(np.arange(len(cols)), [len(x) for x in cols])
+    values, at = np.unique(np.concatenate([ra, ca]), return_inverse=True)
+    rv, cv = at[: len(ra)], at[len(ra) :]
+    nr, nc = np.bincount(rv, minlength=len(values)), np.bincount(cv, minlength=len(values))
+    # what only a row has doesn't count; in a block against itself every value is on both sides, and counts from two rows on
+    useful = (nr > 0) & (nc > 0) & ((nr > 1) | (nc > 1) | (rows is not cols))
+    name = np.cumsum(useful) - 1
+    rk, ck = useful[rv], useful[cv]
+    rv, ri, cv, ci = name[rv[rk]], ri[rk], name[cv[ck]], ci[ck]
+    r_order, c_order = np.argsort(rv, kind="stable"), np.argsort(cv, kind="stable")
+    rv, ri, cv, ci = rv[r_order], ri[r_order], cv[c_order], ci[c_order]
+    nr, nc = nr[useful].astype(np.int64), nc[useful].astype(np.int64)
+    step = 4096
+    for a in range(0, len(nr), step):
+        i, j = np.searchsorted(rv, [a, a + step])
+        k, m = np.searchsorted(cv, [a, a + step])
+        r, c = nr[a : a + step], nc[a : a + step]
+        pairs = int((r * c).sum())
+        if pairs * 40 < len(rows) * len(cols) * len(r):
+            each = np.repeat(c, r)  # partners of each entry of the rows
+            first = np.repeat(np.cumsum(c) - c, r)
+            partner = np.arange(pairs) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first, each)
+            out += np.bincount(np.repeat(ri[i:j], each) * len(cols) + ci[k:m][partner], minlength=out.size).reshape(out.shape)
+        else:
+            x, y = np.zeros((len(rows), len(r)), np.float32), np.zeros((len(cols), len(r)), np.float32)
             x[ri[i:j], rv[i:j] - a] = 1
-            i, j = np.searchsorted(cv, [a, a + step])
-            y[ci[i:j], cv[i:j] - a] = 1
+            y[ci[k:m], cv[k:m] - a] = 1
             out += x @ y.T
-        return out
+    if rows is cols:
+        np.fill_diagonal(out, [len(x) for x in rows])
+    return out
+
+
+def _verify(percent: int):
+    """For one pair of blocks: filter group pairs by prefix and size, expand, verify."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = bool(pdf["same"].iloc[0])
@@ -150,12 +159,14 @@ def _verify(percent: int):
         read = lambda column: [np.frombuffer(x, np.uint64) for x in column]
         lg, rg = left.drop_duplicates("group_id"), right.drop_duplicates("group_id")
         ln, rn = lg["n"].to_numpy()[:, None], rg["n"].to_numpy()[None, :]
-        fits = (100 * np.minimum(ln, rn) >= percent * np.maximum(ln, rn)) & (overlap(read(lg["prefix"]), read(rg["prefix"])) > 0)
+        fits = (100 * np.minimum(ln, rn) >= percent * np.maximum(ln, rn)) & (_overlap(lp := read(lg["prefix"]), lp if same else read(rg["prefix"])) > 0)
+        if same:  # a group's own members are candidates; alone in its group, a class isn't one
+            fits &= ~np.eye(len(lg), dtype=bool) | (left.groupby("group_id")["class_id"].nunique().reindex(lg["group_id"]).to_numpy() > 1)[:, None]
         kept_l, kept_r = set(lg["group_id"].to_numpy()[fits.any(1)]), set(rg["group_id"].to_numpy()[fits.any(0)])
         left, right = left[left["group_id"].isin(kept_l)].reset_index(drop=True), right[right["group_id"].isin(kept_r)].reset_index(drop=True)
         if not len(left) or not len(right):
             return none
-        both = overlap(read(left["shingles"]), read(right["shingles"]))
+        both = _overlap(ls := read(left["shingles"]), ls if same else read(right["shingles"]))
         either = left["n"].to_numpy()[:, None] + right["n"].to_numpy()[None, :] - both
         linked = 100 * both >= percent * either
         a, b = left["class_id"].to_numpy(), right["class_id"].to_numpy()
@@ -195,8 +206,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     Other columns are ignored, whatever their names; an empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n_parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    levels = spark.sparkContext.broadcast(_frequent_slots(spark, docs, size, n_parts))
+    part_bits = min(12, max(4, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()))
+    levels = spark.sparkContext.broadcast(_levels(spark, docs, size, part_bits))
 
     def ordered(s: np.ndarray) -> np.ndarray:
         level = levels.value[s >> np.uint64(64 - SLOT_BITS)]
@@ -219,13 +230,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            owner = np.repeat(batch.column(0).to_numpy(), np.diff(offsets) // 8)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(owner, pa.int64())], names=["token", "group_id"])
-
-    posted = classes.where("group_id = class_id").select("group_id", "prefix").mapInArrow(postings, "token long, group_id long")
-    pivots = posted.groupBy("token").agg(F.min("group_id").alias("pivot"), F.count(F.lit(1)).alias("df")).where("df > 1").select("token", "pivot")
-    near = posted.join(pivots, "token").where("group_id <> pivot").select(F.col("group_id").alias("u"), F.col("pivot").alias("v"))
+            data, offsets = text_buffer(batch.column(2))
+            many = np.diff(offsets) // 8
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            columns = [pa.array(np.frombuffer(data.tobytes(), np.int64)), *(pa.array(np.repeat(batch.column(i).to_numpy(), many), pa.int64()) for i in (0, 1)), pa.array(place.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "group_id", "n", "place"])
+
+    posted = classes.where("group_id = class_id").select("group_id", "n", "prefix").mapInArrow(postings, "token long, group_id long, n long, place int")
+    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
+    listed = posted.join(shared, "token").repartition("token").sortWithinPartitions("token", "n", "group_id")
+    near = listed.mapInArrow(_near(percent), "u long, v long")
     families = connected_components(spark, near).select(F.col("node").alias("group_id"), F.col("component").alias("family"))
     # a group of several classes is a family even where no other group is near it
     crowded = classes.groupBy("group_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("group_id")
@@ -250,10 +264,44 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     )
 
 
+def _near(percent: int):
+    """Edges between groups of one posting list (rows sorted by token and size) that may link.
+
+    A short list gives its pairs that fit by size and by the places of the shared shingle. A long one gives a chain of
+    neighbours in order of size: it joins all that fit by size, and is linear.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            t, g, n, p = (batch.column(i).to_numpy() for i in range(4))
+            if carry is not None:
+                t, g, n, p = (np.concatenate([x, y]) for x, y in zip(carry, (t, g, n, p), strict=True))
+            # the last SHORT rows of an open list wait for the next batch; what is linked twice does no harm
+            at = max(int(np.searchsorted(t, t[-1])), len(t) - SHORT) if len(t) else 0
+            carry = tuple(x[at:] for x in (t, g, n, p))
+            begin = np.searchsorted(t, t)
+            size = np.searchsorted(t, t, "right") - begin
+            us, vs = [], []
+            for k in range(1, min(SHORT, len(t))):
+                ok = (t[k:] == t[:-k]) & (100 * n[:-k] >= percent * n[k:])
+                if k > 1:
+                    ok &= size[k:] <= SHORT
+                least = -(-percent * (n[k:] + n[:-k]) // (100 + percent))
+                bound = np.minimum(p[k:], p[:-k]) + np.minimum(n[k:] - p[k:], n[:-k] - p[:-k])
+                ok &= (bound >= least) | (size[k:] > SHORT)
+                us.append(g[k:][ok])
+                vs.append(g[:-k][ok])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
+
+    return run
+
+
 def _whole_sets(spark: SparkSession, docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, k1, k2, shingles) of the members' texts, and of a few others: a filter of fixed size spares the rest."""
-    slot = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << SLOT_BITS)).cast("int")
-    wanted = np.zeros(1 << SLOT_BITS, bool)
+    slot = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS)).cast("int")
+    wanted = np.zeros(1 << FILTER_BITS, bool)
     wanted[members.select(slot("class_id").alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
     flags = spark.sparkContext.broadcast(np.packbits(wanted))
 
