@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalake.llm.media_jpeg import media_column, media_digest
+
+    return media_digest(media_column(_table(spark, sf_dir, "documents")))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalake.llm.ngram_jaccard import jaccard_components
 
