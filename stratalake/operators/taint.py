@@ -38,6 +38,8 @@ def flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: Da
                 clean = edges.join(stop.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
                 part = reachable(clean, start.where(F.col("kind") == kind).join(stop, "node", "left_anti"), max_depth, ("source", "kind"))
             walked = part if walked is None else walked.unionByName(part)
+    if walked is None:
+        walked = start.withColumn("depth", F.lit(0)).limit(0)
     return walked.join(sinks.select("node", "kind").distinct(), ["node", "kind"]).select("source", F.col("node").alias("sink"), "kind", "depth")
 
 

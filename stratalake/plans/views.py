@@ -45,11 +45,11 @@ SPARSE = "(SELECT p_partkey AS src, (p_partkey * 7 + 1) % 1009 AS dst FROM part
 def dag(t: Table) -> DataFrame:
     """Edges from larger to smaller part keys."""
     k = F.col("p_partkey")
-    p = t("part").where("p_partkey > 0 AND p_partkey < 400")
+    p = t("part").where("p_partkey > 0 AND p_partkey < 200")
     return p.select(k.alias("src"), F.floor(k / 2).cast("long").alias("dst")).unionByName(p.where("p_partkey % 4 = 1 AND p_partkey > 3").select(k.alias("src"), (k - 3).alias("dst"))).distinct()
 
 
-DAG = "(SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0 AND p_partkey < 400 UNION SELECT p_partkey, p_partkey - 3 FROM part WHERE p_partkey % 4 = 1 AND p_partkey > 3 AND p_partkey < 400)"
+DAG = "(SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0 AND p_partkey < 200 UNION SELECT p_partkey, p_partkey - 3 FROM part WHERE p_partkey % 4 = 1 AND p_partkey > 3 AND p_partkey < 200)"
 
 
 def tree(t: Table) -> DataFrame:
