@@ -128,7 +128,8 @@ def rendered(path, kinds):
 
 
 def weak_topological_order(edges: dict[int, list[int]], start: int) -> list:
-    """Nested components of one graph: numbers and lists whose first entry is their head. Recursive strategy over depth-first numbers."""
+    """Nested components of one graph: numbers and lists whose first entry is their head. Recursive strategy over depth-first
+    numbers; later successors are visited first, as what is visited first ends up last."""
     number: dict[int, float] = {}
     stack: list[int] = []
     clock = 0
@@ -139,7 +140,7 @@ def weak_topological_order(edges: dict[int, list[int]], start: int) -> list:
         clock += 1
         head = number[v] = clock
         loop = False
-        for w in edges.get(v, []):
+        for w in reversed(edges.get(v, [])):
             low = visit(w, out) if w not in number else number[w]
             if low <= head:
                 head, loop = low, True
@@ -151,7 +152,7 @@ def weak_topological_order(edges: dict[int, list[int]], start: int) -> list:
                     del number[x]
                     x = stack.pop()
                 inner: list = []
-                for w in edges.get(v, []):
+                for w in reversed(edges.get(v, [])):
                     if w not in number:
                         visit(w, inner)
                 out.insert(0, [v, *inner])
