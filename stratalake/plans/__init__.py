@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "reporting", "graphs", "streams")
+MODULES = ("relational", "reporting", "graphs", "streams", "storage")
 
 
 def load() -> None:

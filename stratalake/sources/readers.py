@@ -99,8 +99,8 @@ def files(spark: SparkSession, folder: str, glob: str = "*", without: str | None
 
 
 def issue_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Issues of all files of a folder gathered by procedure."""
-    found = spark.read.schema(ISSUE).option("recursiveFileLookup", "true").json(folder, multiLine=True)
+    """Issues (JSON lines) of all files of a folder gathered by procedure."""
+    found = spark.read.schema(ISSUE).option("recursiveFileLookup", "true").json(folder)
     return found.groupBy("procedure").agg(F.array_sort(F.collect_set("hash")).alias("hashes"), F.count(F.lit(1)).alias("n"))
 
 

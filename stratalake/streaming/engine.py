@@ -95,13 +95,14 @@ class LengthWindow(StatefulProcessor):
         import pandas as pd
 
         held = [float(r[0]) for r in self.ring.get()] if self.ring.exists() else []
-        for pdf in rows:
-            out = []
-            for at, v in pdf.sort_values("seq")[["seq", "value"]].itertuples(index=False):
-                held = [*held, float(v)][-self.length :]
-                out.append((key[0], int(at), len(held), sum(held)))
-            yield pd.DataFrame(out, columns=["key", "seq", "n", "total"])
+        # a batch's rows of a key come in pieces of any order
+        pdf = pd.concat(list(rows)).sort_values("seq")
+        out = []
+        for at, v in pdf[["seq", "value"]].itertuples(index=False):
+            held = [*held, float(v)][-self.length :]
+            out.append((key[0], int(at), len(held), sum(held)))
         self.ring.put([(v,) for v in held])
+        yield pd.DataFrame(out, columns=["key", "seq", "n", "total"])
 
     def close(self) -> None:
         pass
