@@ -82,6 +82,8 @@ def lower_table() -> np.ndarray:
 
 
 LOWER = lower_table()
+#: Bytes that word hashing takes at a time, so that a very long text needs no more memory than its own and its words' hashes.
+PORTION = 1 << 18
 
 
 def word_mask(separators: bytes) -> np.ndarray:
@@ -95,19 +97,37 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
 
     A word is a longest run of bytes for which inside holds; texts don't run into each other.
     """
-    n, n_texts = len(data), len(offsets) - 1
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(n_texts + 1, np.int64)
+    n = len(data)
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    at = 0
+    while at < n:
+        end = min(n, at + PORTION)
+        if end < n:
+            # a portion ends between words, or, where one word fills it, goes on to that word's end
+            stops = np.flatnonzero(~inside[data[at:end]])
+            while not len(stops) and end < n:
+                end = min(n, end + PORTION)
+                stops = np.flatnonzero(~inside[data[at:end]])
+            end = at + int(stops[-1]) + 1 if len(stops) and end < n else end
+        first = np.searchsorted(offsets, at)
+        edges = offsets[first : np.searchsorted(offsets, end)] - at
+        h, s = _portion(data[at:end], edges, inside)
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def _portion(data: np.ndarray, edges: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the words of a stretch of bytes in which texts begin at the edges."""
+    n = len(data)
     in_word = inside[data]
     begins = in_word.copy()
     begins[1:] &= ~in_word[:-1]
-    edge = offsets[:-1]
-    edge = edge[edge < n]
-    begins[edge] = in_word[edge]
+    begins[edges] = in_word[edges]
     starts = np.flatnonzero(begins)
-    counts = np.searchsorted(starts, offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64), starts
     place = np.arange(n)
     last = np.zeros(n, np.int64)
     last[starts] = starts
@@ -120,7 +140,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     values = BYTE_VALUES[LOWER[data]]
     values *= powers[place]
     values[~in_word] = 0
-    return mix(np.add.reduceat(values, starts)), counts
+    return mix(np.add.reduceat(values, starts)), starts
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

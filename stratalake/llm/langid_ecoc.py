@@ -24,6 +24,8 @@ BUCKETS = 1 << 13
 SAMPLE = 600
 SAMPLE_CHARS = 32_768
 MARGIN = 0.15
+#: Bytes of texts whose n-grams are counted at a time.
+PORTION = 1 << 19
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
@@ -60,26 +62,47 @@ def _folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _grams(d: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """Counts of the n-grams that begin at each of the first len(row) folded bytes, by row."""
+    n = len(row)
+    d = np.concatenate([d, [32, 32]]).astype(np.int32)
+    one, two, three = d[:n], d[1 : n + 1], d[2 : n + 2]
+    keep = (one != 32) | (two != 32)
+    one, two, three, at = one[keep], two[keep], three[keep], row[keep] * BUCKETS
+    pair = one * 257 + two
+    g2 = pair.astype(np.int64) * 40503 % 65521 % (BUCKETS // 2)
+    g3 = (pair * 257 + three).astype(np.int64) * 40503 % 1000003 % (BUCKETS // 2) + BUCKETS // 2
+    return np.bincount(at + g2, minlength=n_rows * BUCKETS) + np.bincount(at + g3, minlength=n_rows * BUCKETS)
+
+
 def vectors(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, square-rooted shares of the hashed n-grams by row, whether the row has a letter) for spans of rows."""
+    """(first row, square-rooted shares of the hashed n-grams by row, whether the row has a letter) for spans of rows.
+
+    A text longer than a span is counted in portions that overlap by an n-gram, so it needs no more memory than others.
+    """
     data, offsets = text_buffer(column)
-    for a, b in spans(offsets, 1 << 19):
-        # blanks between texts keep their n-grams apart
-        begin = offsets[a:b] - offsets[a]
-        d = np.insert(_folded(data[offsets[a] : offsets[b]]), np.concatenate([begin, [offsets[b] - offsets[a]]]), 32).astype(np.int64)
-        ends = np.concatenate([begin, [offsets[b] - offsets[a]]]) + np.arange(b - a + 1)
-        row = np.repeat(np.arange(b - a), np.diff(ends))
-        d = d[: len(row) + 1]
-        n = len(row)
-        padded = np.concatenate([d, [32, 32]])
-        one, two, three = padded[:n], padded[1 : n + 1], padded[2 : n + 2]
-        blank2 = (one == 32) & (two == 32)
-        g2 = (one * 257 + two) * 40503 % 65521 % (BUCKETS // 2)
-        g3 = ((one * 257 + two) * 257 + three) * 40503 % 1000003 % (BUCKETS // 2) + BUCKETS // 2
-        keep = ~blank2
-        counts = np.bincount(np.concatenate([(row * BUCKETS + g2)[keep], (row * BUCKETS + g3)[keep]]), minlength=(b - a) * BUCKETS).reshape(b - a, BUCKETS).astype(np.float32)
-        total = np.maximum(counts.sum(1, keepdims=True), 1)
-        yield a, np.sqrt(counts / total), np.bincount(row[one != 32], minlength=b - a) > 0
+    for a, b in spans(offsets, PORTION):
+        first, last = int(offsets[a]), int(offsets[b])
+        counts, letters = np.zeros((b - a) * BUCKETS, np.int64), np.zeros(b - a, bool)
+        if b - a == 1:
+            for at in range(first, last, PORTION):
+                lead = int(at > first)
+                d = _folded(data[at - lead : min(last, at + PORTION + 2)])[lead:]
+                n = min(PORTION, last - at)
+                letters |= bool((d[:n] != 32).any())
+                counts += _grams(d, np.zeros(n, np.int64), 1)
+                if at == first:
+                    counts += _grams(np.concatenate([[32], d[:2]]), np.zeros(1, np.int64), 1)
+        else:
+            # blanks around the texts keep their n-grams apart
+            begin = np.concatenate([offsets[a:b], [last]]) - first
+            d = np.insert(_folded(data[first:last]), begin, 32)
+            ends = begin + np.arange(b - a + 1)
+            row = np.repeat(np.arange(b - a), np.diff(ends))
+            counts += _grams(d, row, b - a)
+            letters = np.bincount(row[d[: len(row)] != 32], minlength=b - a) > 0
+        counts = counts.reshape(b - a, BUCKETS).astype(np.float32)
+        yield a, np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)), letters
 
 
 def has_letter(text: str) -> bool:

@@ -48,8 +48,11 @@ def statistics(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     for a, b in spans(offsets, 1 << 19):
         d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         n = np.diff(o)
-        row = np.repeat(np.arange(b - a), n)
-        counts = np.bincount(row * 256 + d, minlength=(b - a) * 256).reshape(b - a, 256)
+        row = np.repeat(np.arange(b - a, dtype=np.int32), n)
+        counts = np.zeros((b - a) * 256, np.int64)
+        for at in range(0, len(d), 1 << 20):  # a very long text in portions
+            counts += np.bincount(row[at : at + (1 << 20)].astype(np.int64) * 256 + d[at : at + (1 << 20)], minlength=len(counts))
+        counts = counts.reshape(b - a, 256)
         shares = np.sqrt(counts @ CLASSES / np.maximum(n, 1)[:, None])
         words, c = hash_words(d, o, inside)
         m = np.diff(c)

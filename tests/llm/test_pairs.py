@@ -164,3 +164,22 @@ def test_licenses_by_brute_force(spark):
     for r in got:
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) or not r.base_labels
     assert license_scan.license_scan(spark, frame(spark, [])).count() == 0
+
+
+def test_word_hashes_in_portions(monkeypatch):
+    import numpy as np
+
+    from stratalake.llm import common
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab \n") for _ in range(rng.randint(0, 50))) for _ in range(40)] + ["x" * 500, "", "a " * 100]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    inside = common.word_mask(common.WHITE_SPACE)
+    whole, counts = common.hash_words(data, offsets, inside)
+    assert np.diff(counts).tolist() == [len(t.split()) for t in texts]
+    assert len(set(whole.tolist())) == len({w for t in texts for w in t.split()})
+    for portion in (1, 3, 16, 64):
+        monkeypatch.setattr(common, "PORTION", portion)
+        again, c = common.hash_words(data, offsets, inside)
+        assert (again == whole).all() and (c == counts).all()

@@ -358,3 +358,16 @@ def test_site_templates_go(spark):
     got = {r.page_id: r.text for r in html_extract.extract_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[k] == f"Story {k} begins\nand ends {k}" for k in range(12))
     assert got[101] == "About this site\nFind us\nStory 1 begins\nand ends 1"
+
+
+def test_n_grams_in_portions(monkeypatch):
+    import pyarrow as pa
+
+    text = "Ein länger Text mit Éa und mehr. " * 20
+    ((_, whole, _),) = langid_ecoc.vectors(pa.array([text]))
+    monkeypatch.setattr(langid_ecoc, "PORTION", 37)
+    ((_, parts, letters),) = langid_ecoc.vectors(pa.array([text]))
+    assert np.allclose(whole, parts) and letters.all()
+    monkeypatch.undo()
+    got = list(langid_ecoc.vectors(pa.array([text, "x"])))
+    assert np.allclose(got[0][1][0], whole[0])
