@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 #: Fixed value: the pre-token pattern of the vocabulary, with white space as Unicode's White_Space property.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Entries of the table of pieces seen; beyond it the table starts anew.
-CACHE = 400_000
+#: Entries of the table of pieces seen (beyond it the table starts anew), and the letters of a piece that it keeps.
+CACHE, CACHED_LETTERS = 800_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -157,10 +157,11 @@ class Encoder:
             try:
                 out.append(b"".join(map(seen.__getitem__, pieces)))
             except KeyError:
+                own: dict[str, bytes] = {}
                 for p in pieces:
-                    if p not in seen:
-                        seen[p] = np.array(self.piece(p.encode()), "<u4").tobytes()
-                out.append(b"".join(map(seen.__getitem__, pieces)))
+                    if p not in seen and p not in own:
+                        (seen if len(p) <= CACHED_LETTERS else own)[p] = np.array(self.piece(p.encode()), "<u4").tobytes()
+                out.append(b"".join(seen[p] if p in seen else own[p] for p in pieces))
             if special is not None:
                 out.append(np.array([special], "<u4").tobytes())
         return b"".join(out)

@@ -31,29 +31,39 @@ NEVER = frozenset("head nav footer aside form script style noscript template ifr
 #: Words of class, id and role names of what isn't main text.
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side aside "
-    "menu nav navbar navigation breadcrumb breadcrumbs toc header masthead topbar footer bottombar comment comments commentlist disqus replies reply discussion respond "
+    "menu nav navbar navigation breadcrumb breadcrumbs toc topbar footer bottombar comment comments commentlist disqus replies reply discussion respond "
     "share sharing social related recommended newsletter subscribe subscription signup login search form widget toolbar pagination pager skip contentinfo complementary".split()
 )
+#: Site headers, unless they stand inside the main text.
+HEADERS = frozenset({"header", "masthead"})
+#: A name that begins so tells of something else on the page, such as has-sidebar.
+ABOUT = frozenset({"has", "with", "no", "without", "is", "not"})
 NAME = re.compile(r"[a-z]+")
 #: An implied end: starting the key ends an open element of the values, up to the nearest of the scope.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 MANY_PAGES, SHARE = 5, 0.3
 
 
-def _named(attributes: str) -> tuple[str, bool]:
-    """(class and id, whether they or the role name something that isn't main text)."""
+def _named(attributes: str) -> tuple[str, bool, bool]:
+    """(class and id, whether they or the role name something that isn't main text, whether they name a header)."""
     if not attributes or "=" not in attributes:
-        return "", bool(re.search(r"\bhidden\b", attributes or "", re.I))
-    names, out = [], False
+        return "", bool(attributes) and attributes.strip().lower() == "hidden", False
+    names, out, header = [], False, False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
             names.append(value)
-        if key == "hidden" or key == "aria-hidden" and value == "true":
+        if key == "aria-hidden":
+            out |= value == "true"
+        elif key == "hidden":
             out = True
-        elif not WORDS.isdisjoint(NAME.findall(value)):
-            out = True
-    return " ".join(names), out
+        else:
+            for name in value.split():
+                words = NAME.findall(name)
+                if words and words[0] not in ABOUT:
+                    out |= not WORDS.isdisjoint(words)
+                    header |= not HEADERS.isdisjoint(words)
+    return " ".join(names), out, header
 
 
 class Page:
@@ -62,7 +72,7 @@ class Page:
     def __init__(self, source: str):
         #: (text, ids of the elements around it)
         self.blocks: list[tuple[str, tuple[int, ...]]] = []
-        #: tag, class and id, never main text, first and last block of each element
+        #: tag (header for what is named so), class and id, never main text, first and last block of each element
         self.elements: list[list] = []
         self._read(source)
 
@@ -124,13 +134,16 @@ class Page:
                 flush()
             if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
                 continue
-            names, out = _named(m[3])
+            names, out, header = _named(m[3])
+            # the page's frame and its main elements are what they are, however they are styled
+            out &= tag not in ("html", "body", "main")
             if tag in RAW:
                 # the element's text isn't markup and never main text
                 stop = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(source, at)
                 at = stop.end() if stop else end
                 continue
-            elements.append([tag, names, out or tag in NEVER, len(self.blocks), -1])
+            named = "header" if header and tag in CONTAINERS else tag
+            elements.append([named, names, out or tag in NEVER, len(self.blocks), -1])
             stack.append(len(elements) - 1)
             tags.append(tag)
         flush()

@@ -341,6 +341,7 @@ PAGES = [
     (None, None, ""),
     ("x", "", ""),
     ("https://h.example/4", "just text", "just text"),
+    ("https://h.example/6", "<div class='site-header'>S</div><main class='has-sidebar' id='main-menu'><div class='article-header'><h2>T</h2></div><div class='with-ads'>x</div><div class='main sidebar'>no</div></main>", "T\nx"),
     ("https://h.example/5", "<article><header><h1>Own</h1></header><table><tr><td>c1<td>c2<tr><td>c3</table></article><article class=comment>no</article>", "Own\nc1\nc2\nc3"),
 ]
 
