@@ -25,10 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reachable(edges: DataFrame, sources: DataFrame, max_depth: int = 1000, carry: tuple[str, ...] = (), stop: DataFrame | None = None) -> DataFrame:
+def reachable(edges: DataFrame, sources: DataFrame, max_depth: int = 1000, carry: tuple[str, ...] = (), stop: DataFrame | None = None, blocked: tuple[DataFrame, ...] = ()) -> DataFrame:
     """(carry..., node, depth): nodes within max_depth edges (src, dst) of the sources (carry..., node), at their least depth.
 
-    With carry columns each value walks by itself. Paths go into stop nodes but not on from them.
+    With carry columns each value walks by itself. Paths go into stop nodes but not on from them, and never into rows of a
+    blocked table (node and any of the carry columns).
     """
     key = [*carry, "node"]
     seen = cut(sources.select(*key).distinct().withColumn("depth", F.lit(0)))
@@ -39,6 +40,8 @@ def reachable(edges: DataFrame, sources: DataFrame, max_depth: int = 1000, carry
         depth += 1
         start = frontier if stop is None else frontier.join(stop.select(F.col(stop.columns[0]).alias("node")), "node", "left_anti")
         step = start.join(e, start["node"] == e["src"]).select(*carry, F.col("dst").alias("node")).distinct()
+        for b in blocked:
+            step = step.join(b, [c for c in key if c in b.columns], "left_anti")
         known = parts[0]
         for p in parts[1:]:
             known = known.unionByName(p)

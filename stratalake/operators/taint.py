@@ -23,23 +23,11 @@ def endpoints(calls: DataFrame, specs: DataFrame) -> DataFrame:
 def flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame | None = None, max_depth: int = 1000) -> DataFrame:
     """(source, sink, kind, depth): sinks (node, kind) that a source (node, kind) of the same kind reaches over edges (src, dst).
 
-    A flow of a kind stops at a sanitizer (node, kind; the kind All stops every flow). A source that is itself a sink of its kind counts.
+    A flow of a kind doesn't enter a sanitizer (node, kind; the kind All stops every flow). A source that is itself a sink of its kind counts.
     """
     start = sources.select(F.col("node").alias("source"), "kind", "node")
-    if sanitizers is None:
-        walked = reachable(edges, start, max_depth, ("source", "kind"))
-    else:
-        walked = None
-        whole = sanitizers.where("kind = 'All'").select("node")
-        for kind in [r[0] for r in sources.select("kind").distinct().limit(1000).collect()]:  # kinds are configuration
-            stop = sanitizers.where(F.col("kind") == kind).select("node").union(whole).distinct()
-            part = reachable(edges, start.where(F.col("kind") == kind), max_depth, ("source", "kind"))
-            if not stop.isEmpty():
-                clean = edges.join(stop.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
-                part = reachable(clean, start.where(F.col("kind") == kind).join(stop, "node", "left_anti"), max_depth, ("source", "kind"))
-            walked = part if walked is None else walked.unionByName(part)
-    if walked is None:
-        walked = start.withColumn("depth", F.lit(0)).limit(0)
+    blocked = () if sanitizers is None else (sanitizers.where("kind <> 'All'").select("node", "kind"), sanitizers.where("kind = 'All'").select("node"))
+    walked = reachable(edges, start, max_depth, ("source", "kind"), blocked=blocked)
     return walked.join(sinks.select("node", "kind").distinct(), ["node", "kind"]).select("source", F.col("node").alias("sink"), "kind", "depth")
 
 
