@@ -20,8 +20,8 @@ from stratalake.llm.common import spans, text_buffer
 
 #: Hashed features; a text's vector has this length.
 BUCKETS = 1 << 13
-#: Training rows for each language at most, those of the least hash of id and text, and the characters taken of each.
-SAMPLE = 600
+#: Training rows for each language, those of the least hash of the text in each of STRATA strata, and the characters taken of each.
+SAMPLE, STRATA = 640, 64
 SAMPLE_CHARS = 32_768
 MARGIN = 0.15
 #: Bytes of texts whose n-grams are counted at a time.
@@ -129,17 +129,17 @@ class Model:
 
 
 def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, rounds: int = 60) -> Model:
-    """Fit on the rows of docs with text and lang: for each language the sample rows of least hash (a documented bound).
+    """Fit on the rows of docs with text and lang: for each language the rows of least hash, sample in all (a documented bound).
 
     A table without such rows gives a model without languages, which says und of everything.
     """
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND length(trim(text)) > 0").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", F.xxhash64("doc_id", "text").alias("h"))
-
-    # few rows of each language and hash bucket come together before the exact cut, so no task sorts all rows of a language
-    bucket = F.pmod(F.shiftright("h", 8), F.lit(64))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang", bucket).orderBy("h", "text"))).where(F.col("k") <= sample).drop("k")
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample)
-    table = rows.select("lang", "text", "h").toArrow().sort_by([("lang", "ascending"), ("h", "ascending"), ("text", "ascending")])
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND length(trim(text)) > 0").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", F.xxhash64("text").alias("h"))
+    rows = rows.withColumn("stratum", F.pmod(F.shiftright("h", 8), F.lit(STRATA)))
+    # the hash up to which each stratum's rows are taken is found without texts
+    least = Window.partitionBy("lang", "stratum").orderBy("h")
+    cuts = rows.select("lang", "stratum", "h").withColumn("k", F.row_number().over(least)).where(F.col("k") <= -(-sample // STRATA)).groupBy("lang", "stratum").agg(F.max("h").alias("cut"))
+    rows = rows.join(F.broadcast(cuts), ["lang", "stratum"]).where("h <= cut").select("lang", "text", "h").distinct()
+    table = rows.toArrow().sort_by([("lang", "ascending"), ("h", "ascending"), ("text", "ascending")])
     names = table.column("lang").to_pylist()
     languages = sorted(set(names))
     code = codewords(len(languages))

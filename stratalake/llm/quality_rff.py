@@ -125,7 +125,7 @@ def fit(spark: SparkSession, labelled: DataFrame) -> Model:
     model = Model(got[::2], np.where(spread > 1e-6, spread, 1.0), np.zeros(FEATURES), np.zeros(0), np.zeros(0))
     i, j = np.triu_indices(FEATURES)
     width = len(i) + FEATURES
-    rows = labelled.select(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), F.col("label").cast("int").alias("label"), *STATS)
+    rows = labelled.select(F.pmod(F.xxhash64(*STATS), F.lit(FOLDS)).cast("int").alias("fold"), F.col("label").cast("int").alias("label"), *STATS)
     first = spark.sparkContext.broadcast(model)
 
     def matrix(batch: pa.RecordBatch) -> np.ndarray:
