@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Entries of the table of pieces seen (beyond it the table starts anew), and the letters of a piece that it keeps.
-CACHE, CACHED_LETTERS = 800_000, 48
+CACHE, CACHED_LETTERS = 600_000, 48
 
 
 def byte_letters() -> dict[str, int]:
