@@ -183,3 +183,21 @@ def test_word_hashes_in_portions(monkeypatch):
         monkeypatch.setattr(common, "PORTION", portion)
         again, c = common.hash_words(data, offsets, inside)
         assert (again == whole).all() and (c == counts).all()
+
+
+@pytest.mark.parametrize("most", [0, 3, 40])
+def test_components_beyond_one_task(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "TASK_EDGES", most)
+    rng = random.Random(most)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)]
+    least = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for u, v in edges:
+            m = min(least[u], least[v])
+            changed |= least[u] != m or least[v] != m
+            least[u] = least[v] = m
+    alone = {x for x in least if all(x not in e or e[0] == e[1] for e in edges)}
+    got = components.connected_components(spark, spark.createDataFrame(edges, "u long, v long").repartition(5))
+    assert {r.node: r.component for r in got.collect()} == {x: c for x, c in least.items() if x not in alone}
