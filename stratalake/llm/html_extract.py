@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalake.llm.common import materialise
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +44,8 @@ NAME = re.compile(r"[a-z]+")
 #: An implied end: starting the key ends an open element of the values, up to the nearest of the scope.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 MANY_PAGES, SHARE = 5, 0.3
+#: Template hashes of all hosts that are sent to every task at most; with more, pages meet their host's list in SALTS tasks a host.
+SENT_HASHES, SALTS = 1 << 20, 64
 
 
 def _named(attributes: str) -> tuple[str, bool, bool]:
@@ -230,5 +234,14 @@ def extract_text(spark: SparkSession, pages: DataFrame, many_pages: int = MANY_P
 
     kind = pages.schema[id_col].dataType.simpleString()
     url_kind = pages.schema[url_col].dataType.simpleString()
-    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "template")
+    templates = materialise(spark, templates, "templates")
+    size = templates.agg(F.coalesce(F.sum(F.size("template") + 4), F.lit(0))).first()[0]
+    if size <= SENT_HASHES:
+        # of a checked size: the pages stay where they are read
+        joined = rows.join(F.broadcast(templates), "host", "left")
+    else:
+        # each host's pages are dealt over several tasks, and its list goes to all of them
+        salts = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salts, ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "template")
     return joined.mapInArrow(cleaned, f"page_id {kind}, url {url_kind}, text string, n_chars long, n_template int")

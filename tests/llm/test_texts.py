@@ -353,7 +353,9 @@ def test_pages(spark):
     assert html_extract.extract_text(spark, p.limit(0)).count() == 0
 
 
-def test_site_templates_go(spark):
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_site_templates_go(spark, monkeypatch, sent):
+    monkeypatch.setattr(html_extract, "SENT_HASHES", sent)
     page = "<body><div><p>About this site</p><p>Find us</p></div><div><p>Story {0} begins</p><p>and ends {0}</p></div></body>"
     rows = [(k, f"https://A.example:80/{k}", page.format(k)) for k in range(12)] + [(100 + k, f"https://b{k}.example/", page.format(k)) for k in range(3)]
     got = {r.page_id: r.text for r in html_extract.extract_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
