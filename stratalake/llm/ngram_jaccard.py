@@ -39,6 +39,8 @@ FILTER_BITS = 20
 SHORT = 24
 #: Classes a block.
 BLOCK = 1024
+#: Pairs of entries that are counted one by one at a time.
+PAIRS = 1 << 20
 
 
 def _sets(batch_text: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -125,22 +127,29 @@ def _overlap(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     r_order, c_order = np.argsort(rv, kind="stable"), np.argsort(cv, kind="stable")
     rv, ri, cv, ci = rv[r_order], ri[r_order], cv[c_order], ci[c_order]
     nr, nc = nr[useful].astype(np.int64), nc[useful].astype(np.int64)
-    step = 4096
-    for a in range(0, len(nr), step):
-        i, j = np.searchsorted(rv, [a, a + step])
-        k, m = np.searchsorted(cv, [a, a + step])
-        r, c = nr[a : a + step], nc[a : a + step]
-        pairs = int((r * c).sum())
-        if pairs * 40 < len(rows) * len(cols) * len(r):
+    # up to each value, the pairs of entries that share one
+    work = np.concatenate([[0], np.cumsum(nr * nc)])
+    a = 0
+    while a < len(nr):
+        b = min(a + 4096, len(nr))
+        few = (work[b] - work[a]) * 40 < len(rows) * len(cols) * (b - a)
+        if few:
+            b = min(b, max(a + 1, int(np.searchsorted(work, work[a] + PAIRS, "right")) - 1))
+        i, j = np.searchsorted(rv, [a, b])
+        k, m = np.searchsorted(cv, [a, b])
+        r, c = nr[a:b], nc[a:b]
+        if few:
             each = np.repeat(c, r)  # partners of each entry of the rows
             first = np.repeat(np.cumsum(c) - c, r)
-            partner = np.arange(pairs) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first, each)
-            out += np.bincount(np.repeat(ri[i:j], each) * len(cols) + ci[k:m][partner], minlength=out.size).reshape(out.shape)
+            partner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - first, each)
+            at = np.repeat(ri[i:j], each) * len(cols) + ci[k:m][partner]
+            out += np.bincount(at, minlength=out.size).reshape(out.shape)
         else:
-            x, y = np.zeros((len(rows), len(r)), np.float32), np.zeros((len(cols), len(r)), np.float32)
+            x, y = np.zeros((len(rows), b - a), np.float32), np.zeros((len(cols), b - a), np.float32)
             x[ri[i:j], rv[i:j] - a] = 1
             y[ci[k:m], cv[k:m] - a] = 1
             out += x @ y.T
+        a = b
     if rows is cols:
         np.fill_diagonal(out, [len(x) for x in rows])
     return out
@@ -233,7 +242,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
             data, offsets = text_buffer(batch.column(2))
             many = np.diff(offsets) // 8
             place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            columns = [pa.array(np.frombuffer(data.tobytes(), np.int64)), *(pa.array(np.repeat(batch.column(i).to_numpy(), many), pa.int64()) for i in (0, 1)), pa.array(place.astype(np.int32))]
+            tokens = np.frombuffer(data.tobytes(), np.uint64)
+            # at level 0 no other text has the shingle
+            some = levels.value[tokens >> np.uint64(64 - SLOT_BITS)] > 0
+            columns = [pa.array(tokens[some].view(np.int64)), *(pa.array(np.repeat(batch.column(i).to_numpy(), many)[some], pa.int64()) for i in (0, 1)), pa.array(place[some].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["token", "group_id", "n", "place"])
 
     posted = classes.where("group_id = class_id").select("group_id", "n", "prefix").mapInArrow(postings, "token long, group_id long, n long, place int")
@@ -244,7 +256,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     # a group of several classes is a family even where no other group is near it
     crowded = classes.groupBy("group_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("group_id")
     families = families.unionByName(crowded.join(families, "group_id", "left_anti").select("group_id", F.col("group_id").alias("family")))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
+    # a little wider than the ratio, so that rounding never puts a linked pair two bands apart
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(1e-4, 1.001 * math.log(100 / percent)))).cast("int")
     members = materialise(spark, classes.join(families, "group_id").withColumn("band", band), "members")
     sets = _whole_sets(spark, docs, members, size).dropDuplicates(["doc_id", *key]).withColumnRenamed("doc_id", "class_id")
 
