@@ -4,6 +4,9 @@ Each language has a codeword; for each bit, a linear classifier over letter n-gr
 text, all of it) predicts that bit. The loss of a text against a codeword is the sum over bits of weight * log(1 + exp(-margin)),
 the weights being the classifiers' own training accuracies above chance; the codeword of least loss wins, and a text whose two
 best losses are close is flagged as ambiguous. A distance of the codewords beyond two lets single bits fail.
+
+The codes choose among the learned languages only. Whether a text is of any of them is told by its likeness: the mean
+log-share of its n-grams in a language, above a floor that is calibrated on the labelled rows, each left out of its own language.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ BUCKETS = 1 << 13
 SAMPLE, STRATA = 640, 64
 SAMPLE_CHARS = 32_768
 MARGIN = 0.15
+#: Added to the shares of n-grams before the logarithm. A language's floor: this quantile of its labelled rows' log-shares, less SLACK.
+UNSEEN, LOWEST, SLACK = 1e-6, 0.01, 2.5
 #: Bytes of texts whose n-grams are counted at a time.
 PORTION = 1 << 19
 
@@ -115,6 +120,12 @@ class Model:
     code: np.ndarray
     weights: np.ndarray  # (BUCKETS + 1, bits)
     trust: np.ndarray  # (bits,)
+    log_share: np.ndarray  # (BUCKETS, languages)
+    floor: np.ndarray  # (languages,)
+
+    def likeness(self, x: np.ndarray) -> np.ndarray:
+        """How far each row's mean log-share lies above the floor of the language that it suits best; negative: of none."""
+        return (x * x @ self.log_share - self.floor).max(1)
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(best language, score 0 to 1, ambiguous) of each row of vectors."""
@@ -144,7 +155,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, rounds: int
     languages = sorted(set(names))
     code = codewords(len(languages))
     if not languages:
-        return Model([], code, np.zeros((BUCKETS + 1, 1)), np.ones(1))
+        return Model([], code, np.zeros((BUCKETS + 1, 1)), np.ones(1), np.zeros((BUCKETS, 0)), np.zeros(0))
     x = np.concatenate([v for _, v, _ in vectors(table.column("text"))])
     y = code[np.searchsorted(languages, names)]
     # each bit: ridge by conjugate gradients, then margins scaled so that a logistic loss fits
@@ -165,16 +176,22 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, rounds: int
         rs = new
     w *= 4
     right = ((z @ w) * y > 0).mean(0)
-    return Model(languages, code, w, np.maximum(right - 0.5, 1e-3))
+    log_share, floor = np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
+    for k, language in enumerate(languages):
+        share = np.square(x[[i for i, n in enumerate(names) if n == language]], dtype=np.float64)
+        log_share[:, k] = np.log(share.mean(0) + UNSEEN)
+        others = np.maximum(share.sum(0) - share, 0) / max(len(share) - 1, 1)
+        floor[k] = np.quantile((share * np.log(others + UNSEEN)).sum(1), LOWEST) - SLACK
+    return Model(languages, code, w, np.maximum(right - 0.5, 1e-3), log_share, floor)
 
 
 def classify(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and ambiguous added; columns of these names that docs has already are replaced.
+    """docs with lang_pred, score, ambiguous and likeness added; columns of these names that docs has already are replaced.
 
-    A null text and a text without a letter get und and score 0. Equal texts get equal results but for the last bits of the
+    lang_pred is the best of the learned languages however little the text is like it; under 0, likeness says it is like none. A null text and a text without a letter get und and score 0. Equal texts get equal results but for the last bits of the
     score. An empty table gives an empty one; repeated rows and null ids pass through.
     """
-    docs = docs.drop("lang_pred", "score", "ambiguous")
+    docs = docs.drop("lang_pred", "score", "ambiguous", "likeness")
     at = docs.columns.index(text_col)
     shared = spark.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -193,13 +210,14 @@ def classify(spark: SparkSession, docs: DataFrame, model: Model, text_col: str =
                 best, score, close = m.decode(x) if m.languages else (np.zeros(len(x), int), np.zeros(len(x)), np.zeros(len(x), bool))
                 known &= bool(m.languages)
                 names = [m.languages[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.where(known, np.round(score, 9), 0.0)), pa.array(close & known)], names=[*part.schema.names, "lang_pred", "score", "ambiguous"])
+                like = pa.array((m.likeness(x) if m.languages else np.zeros(len(x))).astype(float))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.where(known, np.round(score, 9), 0.0)), pa.array(close & known), like], names=[*part.schema.names, "lang_pred", "score", "ambiguous", "likeness"])
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean, likeness double")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, least: float = 0.0) -> DataFrame:
-    """docs without the rows whose language can't be told (und) or whose score is under least."""
+    """docs without the rows whose language can't be told (und), that are like no learned language, or whose score is under least."""
     model = fit(spark, docs, sample)
     found = classify(spark, docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("likeness") >= 0) & (F.col("score") >= least)).select(*docs.columns)
