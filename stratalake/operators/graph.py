@@ -158,14 +158,14 @@ def weak_topological_order(edges: dict[int, list[int]], start: int) -> list:
                 for w in reversed(edges.get(v, [])):
                     if w not in number:
                         visit(w, inner)
-                out.insert(0, [v, *inner])
+                out.append([v, *inner[::-1]])
             else:
-                out.insert(0, v)
+                out.append(v)
         return head
 
     out: list = []
     visit(start, out)
-    return out
+    return out[::-1]
 
 
 def _printed(order: list) -> str:

@@ -87,9 +87,9 @@ def annotation_reach(spark, t):
 
 @query("weak_topological_order", ops="G8")
 def weak_topological_order(spark, t):
-    e = t("part").where("p_partkey BETWEEN 1 AND 60")
+    e = t("part").where("p_partkey > 0")
     k = F.col("p_partkey")
-    edges = e.select(F.lit("g").alias("graph"), F.floor(k / 2).alias("src"), k.alias("dst"), k.alias("seq")).where("src > 0").unionByName(e.where("p_partkey % 5 = 0").select(F.lit("g").alias("graph"), k.alias("src"), F.floor(k / 4).alias("dst"), (k + 1000).alias("seq")).where("dst > 0"))
+    edges = e.select(F.lit("g").alias("graph"), F.floor(k / 2).alias("src"), k.alias("dst"), k.alias("seq")).where("src > 0").unionByName(e.where("p_partkey % 5 = 0").select(F.lit("g").alias("graph"), k.alias("src"), F.floor(k / 4).alias("dst"), (k * 2 + 2).alias("seq")).where("dst > 0"))
     return graph.weak_topological_orders(edges, 1)
 
 
@@ -101,7 +101,7 @@ def dominators(spark, t):
 
 @query("rich_nodes", ops="G11")
 def rich_nodes(spark, t):
-    edges = t("lineitem").where("l_suppkey < 40").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct()
+    edges = t("lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct()
     s = t("supplier").select((F.col("s_suppkey") + 1_000_000).alias("node"), "s_nationkey")
     similar = s.join(s.select(F.col("node").alias("other"), "s_nationkey"), "s_nationkey").where("node <> other").select("node", "other")
     return graph.relieve_rich_nodes(edges, similar)
