@@ -23,9 +23,8 @@ from stratalake.llm.common import spans, text_buffer
 
 #: Hashed features; a text's vector has this length.
 BUCKETS = 1 << 13
-#: Training rows for each language, those of the least hash of the text in each of STRATA strata, and the characters taken of each.
+#: Training rows for each language, those of the least hash of the text in each of STRATA strata.
 SAMPLE, STRATA = 640, 64
-SAMPLE_CHARS = 32_768
 MARGIN = 0.15
 #: Added to the shares of n-grams before the logarithm. A language's floor: this quantile of its labelled rows' log-shares, less SLACK.
 UNSEEN, LOWEST, SLACK = 1e-6, 0.01, 2.5
@@ -139,24 +138,40 @@ class Model:
         return best, p[np.arange(len(x)), best], close
 
 
+def _sparse(rows: DataFrame) -> DataFrame:
+    """(lang, h, at, share): the buckets that each whole text fills, as 16-bit numbers, and their values as 32-bit floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, x, _ in vectors(batch.column(1)):
+                full = [np.flatnonzero(v).astype(np.uint16) for v in x]
+                part = batch.slice(a, len(x))
+                at, share = pa.array([k.tobytes() for k in full], pa.binary()), pa.array([v[k].tobytes() for v, k in zip(x, full, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), at, share], names=["lang", "h", "at", "share"])
+
+    return rows.select("lang", "text", "h").mapInArrow(run, "lang string, h long, at binary, share binary")
+
+
 def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, rounds: int = 60) -> Model:
     """Fit on the rows of docs with text and lang: for each language the rows of least hash, sample in all (a documented bound).
 
     A table without such rows gives a model without languages, which says und of everything.
     """
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND length(trim(text)) > 0").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", F.xxhash64("text").alias("h"))
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND length(trim(text)) > 0").select("text", "lang", F.xxhash64("text").alias("h"))
     rows = rows.withColumn("stratum", F.pmod(F.shiftright("h", 8), F.lit(STRATA)))
     # the hash up to which each stratum's rows are taken is found without texts
     least = Window.partitionBy("lang", "stratum").orderBy("h")
     cuts = rows.select("lang", "stratum", "h").withColumn("k", F.row_number().over(least)).where(F.col("k") <= -(-sample // STRATA)).groupBy("lang", "stratum").agg(F.max("h").alias("cut"))
     rows = rows.join(F.broadcast(cuts), ["lang", "stratum"]).where("h <= cut").select("lang", "text", "h").distinct()
-    table = rows.toArrow().sort_by([("lang", "ascending"), ("h", "ascending"), ("text", "ascending")])
+    table = _sparse(rows).toArrow().sort_by([(c, "ascending") for c in ("lang", "h", "at", "share")])
     names = table.column("lang").to_pylist()
     languages = sorted(set(names))
     code = codewords(len(languages))
     if not languages:
         return Model([], code, np.zeros((BUCKETS + 1, 1)), np.ones(1), np.zeros((BUCKETS, 0)), np.zeros(0))
-    x = np.concatenate([v for _, v, _ in vectors(table.column("text"))])
+    x = np.zeros((len(names), BUCKETS), np.float32)
+    for i, (at, share) in enumerate(zip(table.column("at").to_pylist(), table.column("share").to_pylist(), strict=True)):
+        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(share, np.float32)
     y = code[np.searchsorted(languages, names)]
     # each bit: ridge by conjugate gradients, then margins scaled so that a logistic loss fits
     z = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)

@@ -26,3 +26,11 @@ def test_likeness_of_unseen_rows(spark):
     held = langid_ecoc.held_out("doc_id", 3, 1)
     rows = langid_ecoc.classify(spark, docs.where(held), langid_ecoc.fit(spark, docs.where(~held))).collect()
     assert len(rows) > 200 and all(r.likeness >= 0 for r in rows if any(c.isalpha() for c in r.text))
+
+
+def test_fit_reads_whole_texts(spark):
+    same = "aba cac " * 6_000
+    rows = [(f"{same}{x} {k}", lang) for k in range(20) for x, lang in (("kuk kuku " * 6_000, "k"), ("zoz zozo " * 6_000, "z"))]
+    model = langid_ecoc.fit(spark, spark.createDataFrame(rows, "text string, lang string"))
+    odd = spark.createDataFrame([("kuk kuku kuk",), ("zoz zozo zoz",)], "text string")
+    assert {r.text[0]: r.lang_pred for r in langid_ecoc.classify(spark, odd, model).collect()} == {"k": "k", "z": "z"}
