@@ -5,7 +5,8 @@ rank of its suffix at depth 1, 2, 4, ... comes from the sorted distinct pairs of
 doubling. Suffixes that are alone in their interval drop out of the next round. A run qualifies by its words: from each line,
 the least number of lines that hold min_words; since each line has a word, the depth needed is known and bounded. Suffixes of
 equal ranks over that many lines are an interval of the array whose common prefix is long enough; all but its first member
-are later copies and their lines go. Runs longer than the least are covered by the windows that begin at each of their lines.
+are later copies and their lines go. A longer run is covered by the windows that begin at its lines, but for short last lines
+that no window of min_words within the run reaches: they stay, as in the SQL twin.
 """
 
 from __future__ import annotations
@@ -82,8 +83,8 @@ def _ends(depths: list[int]) -> tuple[Column, Column]:
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the later copies of repeated line runs taken out of the text; n_lines, n_deleted and n_left are added.
 
-    A line is deleted if it lies in a run of whole lines with at least min_words words (blanks + 1 for each line) that has
-    an equal run earlier in the corpus, in this or another document. Blank lines (nothing but spaces) have no identifier: runs go
+    A line is deleted if it lies in a shortest window of whole lines with at least min_words words (blanks + 1 for each line)
+    from one of its lines on that has an equal one earlier in the corpus, in this or another document. Blank lines (nothing but spaces) have no identifier: runs go
     on across them, and they are kept. n_left counts the lines that are neither blank nor deleted.
     A null text stays null with no lines; an empty text has one blank line. Rows with equal id and text are one document and
     get one result; a null id comes first in the order. Columns of the added names are replaced, others are kept; an empty
