@@ -5,15 +5,17 @@ that begins there. Left to right, the encoder takes the longest token, then shor
 the token before it; where none is, it goes back one token. Two tokens are compatible if merging their joined bytes by rank
 gives just these two: this is read off the tokens' last merges (their split table) without encoding again. A bit per place
 marks places that were given up, so each is tried once and the whole is linear in the piece's length.
-Pieces (the vocabulary's own pre-tokens) repeat; a bounded table keeps the ids of those seen.
+Pieces (the vocabulary's own pre-tokens) repeat; a table of two generations of bounded size keeps the ids of those seen.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -22,11 +24,36 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalake.llm.common import spans, text_buffer
+
 #: Fixed value: the pre-token pattern of the vocabulary, with white space as Unicode's White_Space property.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Entries of the table of pieces seen (beyond it the table starts anew), and the letters of a piece that it keeps.
-CACHE, CACHED_LETTERS = 600_000, 48
+#: Entries of each of the two generations of the table of pieces seen, and the letters of a piece that it keeps.
+GENERATION, CACHED_LETTERS = 80_000, 48
+PAIRS = 1 << 17
+#: Pieces of a text that are looked up at a time, and bytes of texts in one batch of results.
+PIECES_AT_A_TIME, BATCH_BYTES = 1 << 16, 1 << 20
+
+
+class Seen(dict):
+    """Ids of pieces by piece, made when first asked for. Two generations of bounded size: a full one becomes the old one."""
+
+    def __init__(self, make: Callable[[str], bytes], generation: int = GENERATION):
+        super().__init__()
+        self.make, self.generation = make, generation
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = self.make(piece)
+        if len(piece) <= CACHED_LETTERS:
+            if len(self) >= self.generation:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,8 +99,12 @@ class Encoder:
             blob[i] = s.encode()
         self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in blob])])
         self.blob = np.frombuffer(b"".join(blob), np.uint8)
-        self.compatible = functools.lru_cache(1 << 18)(self._compatible)
-        self.seen: dict[str, bytes] = {}
+        self.length = [len(b) for b in blob]
+        #: Pairs of tokens (a << 32 | b) and whether they are compatible; begun anew beyond PAIRS.
+        self.pairs: dict[int, bool] = {}
+        #: For each token, whether merging its own bytes gives it: 0 not asked yet, 1 no, 2 yes.
+        self.own = bytearray(n)
+        self.seen = Seen(lambda p: struct.pack(f"<{len(ids := self.piece(p.encode()))}I", *ids))
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b by rank stops at (a, b).
@@ -102,25 +133,33 @@ class Encoder:
         whole = self.ids.get(data)
         if whole is not None and self._whole(whole):
             return [whole]
-        longest = [-1] * len(data)
-        best = [0] * len(data)
-        for end, (i, n) in self.machine.iter(data.decode("latin-1")):
-            at = end - n + 1
-            if n > best[at]:
-                best[at], longest[at] = n, i
+        n, length, shorter, pairs = len(data), self.length, self.shorter, self.pairs
+        longest = [-1] * n
+        # matches come in the order of their ends, so the last one that begins at a place is the longest
+        for end, (i, size) in self.machine.iter(data.decode("latin-1")):
+            longest[end - size + 1] = i
         out: list[int] = []
-        open_, pos, nxt = bytearray(b"\1") * (len(data) + 1), 0, longest[0] if data else -1
-        while pos < len(data):
-            token, last = nxt, out[-1] if out else None
+        open_, pos, nxt = bytearray(b"\1") * (n + 1), 0, longest[0] if data else -1
+        while pos < n:
+            token, last = nxt, out[-1] if out else -1
             while token >= 0:
-                end = pos + len(self.tokens[token])
-                if open_[end] and (self._whole(token) if last is None else self.compatible(last, token)):
-                    break
-                token = self.shorter[token]
+                end = pos + length[token]
+                if open_[end]:
+                    if last < 0:
+                        ok = self._whole(token)
+                    else:
+                        ok = pairs.get(last << 32 | token)
+                        if ok is None:
+                            if len(pairs) >= PAIRS:
+                                pairs.clear()
+                            ok = pairs[last << 32 | token] = self._compatible(last, token)
+                    if ok:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 pos = end
-                nxt = longest[pos] if pos < len(data) else -1
+                nxt = longest[pos] if pos < n else -1
                 continue
             # nothing fits here after the tokens so far: give the place up, and shorten the token before it
             nxt = -1
@@ -129,18 +168,19 @@ class Encoder:
                 if not out:
                     raise ValueError("no tokens cover the piece")
                 nxt = out.pop()
-                pos -= len(self.tokens[nxt])
-                nxt = self.shorter[nxt]
+                pos -= length[nxt]
+                nxt = shorter[nxt]
         return out
 
     def _whole(self, token: int) -> bool:
         """Whether merging a token's own bytes gives the token."""
-        x, y = self.split[token]
-        return x == y == token or (self._whole(x) and self._whole(y) and self._compatible_below(x, y, self.made[token]))
+        if not self.own[token]:
+            x, y = self.split[token]
+            self.own[token] = 1 + (x == y == token or (self._whole(x) and self._whole(y) and self._compatible_below(x, y)))
+        return self.own[token] == 2
 
-    @functools.lru_cache(1 << 17)  # noqa: B019
-    def _compatible_below(self, a: int, b: int, limit: int) -> bool:
-        """Whether a and b stand side by side until the merge of rank limit joins them."""
+    def _compatible_below(self, a: int, b: int) -> bool:
+        """Whether a and b stand side by side until their own merge joins them."""
         got = self.rank.pop((a, b))
         try:
             return self._compatible(a, b)
@@ -149,19 +189,14 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        seen, out = self.seen, []
-        if len(seen) > CACHE:
-            seen.clear()
+        get, out = self.seen.__getitem__, []
         for part, special in self._parts(text):
-            pieces = self.pieces.findall(part)
-            try:
-                out.append(b"".join(map(seen.__getitem__, pieces)))
-            except KeyError:
-                own: dict[str, bytes] = {}
-                for p in pieces:
-                    if p not in seen and p not in own:
-                        (seen if len(p) <= CACHED_LETTERS else own)[p] = np.array(self.piece(p.encode()), "<u4").tobytes()
-                out.append(b"".join(seen[p] if p in seen else own[p] for p in pieces))
+            if len(part) <= PIECES_AT_A_TIME:
+                out += map(get, self.pieces.findall(part))
+            else:
+                pieces = (m[0] for m in self.pieces.finditer(part))
+                while some := list(itertools.islice(pieces, PIECES_AT_A_TIME)):
+                    out.append(b"".join(map(get, some)))
             if special is not None:
                 out.append(np.array([special], "<u4").tobytes())
         return b"".join(out)
@@ -220,13 +255,17 @@ def bpe_columns(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            ids = [np.frombuffer(e.encode(t.as_py() or ""), "<u4") for t in batch.column(at)]
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            flat = pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32))
-            decoded = pa.array([e.decode(i).decode("utf-8", "replace") for i in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, flat), pa.array(np.diff(offsets).astype(np.int64)), decoded], names=[*batch.schema.names, "token_ids", "n_tokens", "decoded"])
+        for whole in batches:
+            at = whole.schema.get_field_index(text_col)
+            # results come out in batches of bounded bytes; a longer text stands alone
+            _, bytes_to = text_buffer(whole.column(at))
+            for first, last in spans(bytes_to, BATCH_BYTES):
+                batch = whole.slice(first, last - first)
+                ids = [np.frombuffer(e.encode(t.as_py() or ""), "<u4") for t in batch.column(at)]
+                offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+                flat = pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32))
+                decoded = pa.array([e.decode(i).decode("utf-8", "replace") for i in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, flat), pa.array(np.diff(offsets).astype(np.int64)), decoded], names=[*batch.schema.names, "token_ids", "n_tokens", "decoded"])
 
     docs = docs.drop("token_ids", "n_tokens", "decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
