@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WHITE_SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -32,6 +33,36 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a key may bring into one task; keys of more are hot. At most 1 << HOT_BITS keys can be.
+HOT_ROWS, HOT_BITS = 1024, 17
+
+
+def hot_rows(names: DataFrame, count: str) -> int:
+    """The number of rows above which a key is hot, from the names' counts: so great that hot keys fit into a broadcast."""
+    total = names.agg(F.sum(count)).first()[0] or 0
+    return max(HOT_ROWS, int(total) >> HOT_BITS)
+
+
+def join_counted(rows: DataFrame, names: DataFrame, on: list[str], spread: list[str], count: str, kind: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to names, which has each key once, its number of rows and other columns; no task gathers a hot key.
+
+    Hot keys are broadcast (there are at most 1 << HOT_BITS, as each has more than that share of all rows), and their rows are
+    dealt by the spread columns in the shuffle of the others. names should be a written table: it is read three times.
+    """
+    limit = hot_rows(names, count)
+    values = [c for c in names.columns if c not in (*on, count)]
+    hot = names.where(F.col(count) > limit)
+    if hot.isEmpty():
+        return rows.join(names.drop(count), on, kind)
+    r = rows.join(F.broadcast(hot.select(*on, F.struct(*values).alias("__hot"))), on, "left")
+    r = r.withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 16))))
+    cold = names.where(F.col(count) <= limit).select(*on, F.lit(0).cast("long").alias("__salt"), F.struct(*values).alias("__cold"))
+    out = r.withColumn("__salt", F.col("__salt").cast("long")).join(cold, [*on, "__salt"], "left").withColumn("__value", F.coalesce("__hot", "__cold"))
+    if kind == "inner":
+        out = out.where("__value IS NOT NULL")
+    return out.select(*rows.columns, *(F.col("__value")[v].alias(v) for v in values))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -50,12 +81,12 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def spans(offsets: np.ndarray, budget: int) -> Iterator[tuple[int, int]]:
-    """Row ranges whose bytes stay near budget; a longer row stands alone."""
+def spans(offsets: np.ndarray, budget: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many rows whose bytes stay near budget; a longer row stands alone."""
     n, first = len(offsets) - 1, 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + budget, "right")) - 1
-        last = min(n, max(last, first + 1))
+        last = min(n, first + rows, max(last, first + 1))
         yield first, last
         first = last
 

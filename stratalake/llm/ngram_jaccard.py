@@ -9,11 +9,14 @@ Every text becomes the set of its distinct word shingles (64-bit hashes). Two te
 3. texts with one set form a class, classes with one prefix and size form a group;
 4. groups that share a prefix shingle and fit by size, directly or through others, form a family (components over edges
    that are linear in the number of postings); every linked pair lies in one family;
-5. families are split into blocks by size band and salt; each pair of blocks filters pairs of groups by their prefixes
-   and sizes, expands the groups that are left to their members, and verifies the members' whole sets by matrix products.
+5. families are split into blocks of bounded classes and shingles by size band and salt; each pair of blocks filters pairs
+   of groups by their prefixes and sizes, expands the groups that are left to their members, and verifies the members'
+   whole sets by matrix products.
 
 Only links inside one pair of blocks are known to a task, and it emits a spanning forest of them and their number per
-class; nothing grows with the square of a group's size except the arithmetic of step 5.
+class. A class of a family of many blocks is sent once to each block that it meets, so for such families rows grow with
+the number of blocks and arithmetic with its square; pairs are never written.
+Classes go by numbers of their own, not by ids: an id may stand on rows of different texts.
 """
 
 from __future__ import annotations
@@ -27,18 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import WHITE_SPACE, hash_words, materialise, mix, shingle_hashes, spans, text_buffer, word_mask
+from stratalake.llm.common import WHITE_SPACE, hash_words, hot_rows, join_counted, materialise, mix, shingle_hashes, spans, text_buffer, word_mask
 from stratalake.llm.components import connected_components
 
 CHUNK = 1 << 19
 #: The table of levels has so many bits of slots, a byte each, whatever the corpus.
 SLOT_BITS = 24
-#: The same for the filter of texts whose whole sets are needed.
-FILTER_BITS = 20
+#: The same for the filter of texts whose whole sets are needed, a bit each.
+FILTER_BITS = 24
+#: Parts that the counts are dealt into, by the first bits of the hash: a part has at most 1 << (32 - PART_BITS) shingles.
+PART_BITS = 10
+#: Hashes that are held before they are counted and put out.
+HELD = 1 << 20
 #: Posting lists up to this length give their pairs, longer ones a chain.
 SHORT = 24
-#: Classes a block.
-BLOCK = 1024
+#: Classes of a block, and shingles of their sets.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: Pairs of entries that are counted one by one at a time.
 PAIRS = 1 << 20
 
@@ -53,7 +60,7 @@ def _sets(batch_text: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarra
         yield a, [np.unique(h[o[i] : o[i + 1]]) for i in range(b - a)]
 
 
-def _levels(spark: SparkSession, docs: DataFrame, size: int, part_bits: int) -> np.ndarray:
+def _levels(spark: SparkSession, docs: DataFrame, size: int, part_bits: int = PART_BITS) -> np.ndarray:
     """A level (0: one text has it, else log2 of the number of texts) for each slot, the top SLOT_BITS bits of a hash."""
     n_parts = 1 << part_bits
 
@@ -69,30 +76,47 @@ def _levels(spark: SparkSession, docs: DataFrame, size: int, part_bits: int) ->
             for _, sets in _sets(batch.column(0), size):
                 held += [s for s in sets if len(s)]
                 n += sum(map(len, sets))
-                if n >= 1 << 21:
+                if n >= HELD:
                     yield flush(held)
                     held, n = [], 0
         if held:
             yield flush(held)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for part, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.setdefault(part, []).append((np.frombuffer(k, np.uint32), np.frombuffer(c, np.uint32) if c is not None else np.ones(len(k) // 4, np.uint32)))
-        for part, rows in held.items():
-            k, c = (np.concatenate(x) for x in zip(*rows, strict=True))
-            order = np.argsort(k)
+        # rows come part by part; what is held of one is merged as it comes, so it has no more than a part's shingles twice
+        part, held, n = -1, [], 0
+
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            k, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(k, kind="stable")
             k, c = k[order], c[order]
             first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            total = np.add.reduceat(c.astype(np.int64), first)
+            return k[first], np.add.reduceat(c, first)
+
+        def levels() -> pa.RecordBatch:
+            k, total = merge()
             table = np.zeros(1 << (SLOT_BITS - part_bits), np.uint8)
-            slot = (k[first] >> np.uint32(32 - SLOT_BITS)).astype(np.int64) & (len(table) - 1)
+            slot = (k >> np.uint32(32 - SLOT_BITS)).astype(np.int64) & (len(table) - 1)
             np.maximum.at(table, slot, np.log2(total).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["part", "levels"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["part", "levels"])
+
+        for batch in batches:
+            for p, keys, counts in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if p.as_py() != part:
+                    if held:
+                        yield levels()
+                    part, held, n = p.as_py(), [], 0
+                k = np.frombuffer(keys.as_py(), np.uint32)
+                held.append((k, np.frombuffer(counts.as_py(), np.uint32).astype(np.int64) if counts.is_valid else np.ones(len(k), np.int64)))
+                n += len(k)
+                if n > max(HELD, 2 * len(held[0][0])):
+                    held = [merge()]
+                    n = len(held[0][0])
+        if held:
+            yield levels()
 
     counted = docs.select("text").mapInArrow(packed, "part int, keys binary, counts binary")
-    found = counted.repartition(n_parts, "part").mapInArrow(merged, "part int, levels binary")
+    found = counted.repartition("part").sortWithinPartitions("part").mapInArrow(merged, "part int, levels binary")
     table = np.zeros((n_parts, 1 << (SLOT_BITS - part_bits)), np.uint8)
     for row in found.toLocalIterator():  # one row a part, 2 ** SLOT_BITS bytes in all
         table[row["part"]] = np.frombuffer(row["levels"], np.uint8)
@@ -166,19 +190,19 @@ def _verify(percent: int):
         if not len(left) or not len(right):
             return none
         read = lambda column: [np.frombuffer(x, np.uint64) for x in column]
-        lg, rg = left.drop_duplicates("group_id"), right.drop_duplicates("group_id")
+        lg, rg = left.drop_duplicates("group_no"), right.drop_duplicates("group_no")
         ln, rn = lg["n"].to_numpy()[:, None], rg["n"].to_numpy()[None, :]
         fits = (100 * np.minimum(ln, rn) >= percent * np.maximum(ln, rn)) & (_overlap(lp := read(lg["prefix"]), lp if same else read(rg["prefix"])) > 0)
         if same:  # a group's own members are candidates; alone in its group, a class isn't one
-            fits &= ~np.eye(len(lg), dtype=bool) | (left.groupby("group_id")["class_id"].nunique().reindex(lg["group_id"]).to_numpy() > 1)[:, None]
-        kept_l, kept_r = set(lg["group_id"].to_numpy()[fits.any(1)]), set(rg["group_id"].to_numpy()[fits.any(0)])
-        left, right = left[left["group_id"].isin(kept_l)].reset_index(drop=True), right[right["group_id"].isin(kept_r)].reset_index(drop=True)
+            fits &= ~np.eye(len(lg), dtype=bool) | (left.groupby("group_no")["class_no"].nunique().reindex(lg["group_no"]).to_numpy() > 1)[:, None]
+        kept_l, kept_r = set(lg["group_no"].to_numpy()[fits.any(1)]), set(rg["group_no"].to_numpy()[fits.any(0)])
+        left, right = left[left["group_no"].isin(kept_l)].reset_index(drop=True), right[right["group_no"].isin(kept_r)].reset_index(drop=True)
         if not len(left) or not len(right):
             return none
         both = _overlap(ls := read(left["shingles"]), ls if same else read(right["shingles"]))
         either = left["n"].to_numpy()[:, None] + right["n"].to_numpy()[None, :] - both
         linked = 100 * both >= percent * either
-        a, b = left["class_id"].to_numpy(), right["class_id"].to_numpy()
+        a, b = left["class_no"].to_numpy(), right["class_no"].to_numpy()
         if same:
             linked &= a[:, None] != b[None, :]
         da, db = linked @ right["copies"].to_numpy(), linked.T @ left["copies"].to_numpy()
@@ -206,17 +230,17 @@ def _verify(percent: int):
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, class_id, class_size, n_links.
+    """One row per input row: doc_id, n_shingles, component_id, class_id, class_size, n_links, text_hash (xxhash64 of the text).
 
     component_id is the least id reachable by links, the row's own included; class_id the least id with the same set;
     n_links the number of other rows that link to it directly. Words are runs of non-white-space, A-Z lowered.
     Null and empty texts and texts of white space have no shingles, link with nothing and are their own component.
-    Repeated rows are rows of their own with the same set. Rows with a null id take no part: their component is null.
+    Repeated rows are rows of their own with the same set; rows of one id with different texts are rows of different sets, and
+    class_id doesn't tell such sets apart. Rows with a null id take no part: their component is null.
     Other columns are ignored, whatever their names; an empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    part_bits = min(12, max(4, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()))
-    levels = spark.sparkContext.broadcast(_levels(spark, docs, size, part_bits))
+    levels = spark.sparkContext.broadcast(_levels(spark, docs, size))
 
     def ordered(s: np.ndarray) -> np.ndarray:
         level = levels.value[s >> np.uint64(64 - SLOT_BITS)]
@@ -224,56 +248,71 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for a, sets in _sets(batch.column(1), size):
                 keys = [_key(s) for s in sets]
                 prefixes = [ordered(s)[: prefix_length(len(s), percent)].tobytes() for s in sets]
                 columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(prefixes, pa.binary())]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, len(sets)), *columns], names=["doc_id", "n", "k1", "k2", "prefix"])
+                rows = batch.slice(a, len(sets))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *columns], names=["doc_id", "text_hash", "n", "k1", "k2", "prefix"])
 
-    sig = materialise(spark, docs.mapInArrow(signatures, "doc_id long, n long, k1 long, k2 long, prefix binary"), "sig")
     key = ["n", "k1", "k2"]
+    sig = materialise(spark, docs.select("*", F.xxhash64("text").alias("text_hash")).mapInArrow(signatures, "doc_id long, text_hash long, n long, k1 long, k2 long, prefix binary"), "sig")
     classes = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.max("prefix").alias("prefix"))
-    groups = classes.groupBy("n", "prefix").agg(F.min("class_id").alias("group_id"))
+    # written once, so the numbers stay
+    classes = materialise(spark, classes.withColumn("class_no", F.monotonically_increasing_id()), "classes")
+    groups = classes.groupBy("n", "prefix").agg(F.min("class_no").alias("group_no"))
     classes = materialise(spark, classes.join(groups, ["n", "prefix"]), "classes")
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
-            many = np.diff(offsets) // 8
-            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            tokens = np.frombuffer(data.tobytes(), np.uint64)
-            # at level 0 no other text has the shingle
-            some = levels.value[tokens >> np.uint64(64 - SLOT_BITS)] > 0
-            columns = [pa.array(tokens[some].view(np.int64)), *(pa.array(np.repeat(batch.column(i).to_numpy(), many)[some], pa.int64()) for i in (0, 1)), pa.array(place[some].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "group_id", "n", "place"])
-
-    posted = classes.where("group_id = class_id").select("group_id", "n", "prefix").mapInArrow(postings, "token long, group_id long, n long, place int")
-    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
-    listed = posted.join(shared, "token").repartition("token").sortWithinPartitions("token", "n", "group_id")
-    near = listed.mapInArrow(_near(percent), "u long, v long")
-    families = connected_components(spark, near).select(F.col("node").alias("group_id"), F.col("component").alias("family"))
-    # a group of several classes is a family even where no other group is near it
-    crowded = classes.groupBy("group_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("group_id")
-    families = families.unionByName(crowded.join(families, "group_id", "left_anti").select("group_id", F.col("group_id").alias("family")))
+            for a, b in spans(offsets, CHUNK):
+                many = np.diff(offsets[a : b + 1]) // 8
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                tokens = np.frombuffer(data[offsets[a] : offsets[b]].tobytes(), np.uint64)
+                # at level 0 no other text has the shingle
+                some = levels.value[tokens >> np.uint64(64 - SLOT_BITS)] > 0
+                columns = [pa.array(tokens[some].view(np.int64)), *(pa.array(np.repeat(batch.column(i).slice(a, b - a).to_numpy(), many)[some], pa.int64()) for i in (0, 1)), pa.array(place[some].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "group_no", "n", "place"])
+
     # a little wider than the ratio, so that rounding never puts a linked pair two bands apart
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(1e-4, 1.001 * math.log(100 / percent)))).cast("int")
-    members = materialise(spark, classes.join(families, "group_id").withColumn("band", band), "members")
+    posted = classes.where("group_no = class_no").select("group_no", "n", "prefix").mapInArrow(postings, "token long, group_no long, n long, place int")
+    shared = materialise(spark, posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    common = shared.where(F.col("df") > hot_rows(shared, "df")).select("token")
+    listed = posted.join(shared.select("token"), "token").join(F.broadcast(common), "token", "left_anti")
+    near = listed.repartition("token").sortWithinPartitions("token", "n", "group_no").mapInArrow(_near(percent), "u long, v long")
+    if not common.isEmpty():
+        # the groups of a very common shingle aren't gathered: each size band's are joined to its least one, and the bands' least ones to each other
+        spread = posted.join(F.broadcast(common), "token").withColumn("band", band)
+        least = materialise(spark, spread.groupBy("token", "band").agg(F.min("group_no").alias("u"), F.count(F.lit(1)).alias("members")), "least")
+        stars = join_counted(spread.select("token", "band", "group_no"), least, ["token", "band"], ["group_no"], "members").select("u", F.col("group_no").alias("v"))
+        above = least.select("token", (F.col("band") - 1).alias("band"), F.col("u").alias("v"))
+        near = near.unionByName(stars).unionByName(least.join(above, ["token", "band"]).select("u", "v"))
+    families = connected_components(spark, near).select(F.col("node").alias("group_no"), F.col("component").alias("family"))
+    # a group of several classes is a family even where no other group is near it
+    crowded = classes.groupBy("group_no").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("group_no")
+    families = families.unionByName(crowded.join(families, "group_no", "left_anti").select("group_no", F.col("group_no").alias("family")))
+    members = materialise(spark, classes.join(families, "group_no").withColumn("band", band), "members")
     sets = _whole_sets(spark, docs, members, size).dropDuplicates(["doc_id", *key]).withColumnRenamed("doc_id", "class_id")
 
-    found = materialise(spark, _dealt(members, sets).groupBy("family", "b1", "s1", "b2", "s2").applyInPandas(_verify(percent), "u long, v long, degree long"), "links")
-    comps = connected_components(spark, found.where("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("class_id"), "component")
-    degrees = found.where("v IS NULL").groupBy(F.col("u").alias("class_id")).agg(F.sum("degree").alias("degree"))
-    named = classes.select(*key, "class_id", "copies").join(comps, "class_id", "left").join(degrees, "class_id", "left")
-    out = sig.select("doc_id", *key).join(named, key, "left")
+    found = materialise(spark, _dealt(spark, members, sets).groupBy("family", "b1", "s1", "b2", "s2").applyInPandas(_verify(percent), "u long, v long, degree long"), "links")
+    comps = connected_components(spark, found.where("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("class_no"), "component")
+    least = materialise(spark, comps.join(classes.select("class_no", "class_id"), "class_no").groupBy("component").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "least")
+    comps = join_counted(comps, least, ["component"], ["class_no"], "members").select("class_no", "component_id")
+    degrees = found.where("v IS NULL").groupBy(F.col("u").alias("class_no")).agg(F.sum("degree").alias("degree"))
+    named = classes.select(*key, "class_no", "class_id", "copies").join(comps, "class_no", "left").join(degrees, "class_no", "left")
+    named = materialise(spark, named.select(*key, "class_id", "component_id", "degree", F.col("copies").alias("class_size"), "copies"), "named")
+    out = join_counted(sig.select("doc_id", "text_hash", *key), named, key, ["doc_id"], "copies", "left")
     linked = F.col("class_id").isNotNull() & F.col("doc_id").isNotNull()
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(linked, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(linked, F.coalesce("component_id", "class_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(linked, F.col("copies")).otherwise(1).alias("class_size"),
-        F.when(linked, F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).otherwise(0).alias("n_links"),
+        F.when(linked, F.col("class_size")).otherwise(1).alias("class_size"),
+        F.when(linked, F.col("class_size") - 1 + F.coalesce("degree", F.lit(0))).otherwise(0).alias("n_links"),
+        "text_hash",
     )
 
 
@@ -314,14 +353,17 @@ def _near(percent: int):
 def _whole_sets(spark: SparkSession, docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, k1, k2, shingles) of the members' texts, and of a few others: a filter of fixed size spares the rest."""
     slot = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS)).cast("int")
-    wanted = np.zeros(1 << FILTER_BITS, bool)
-    wanted[members.select(slot("class_id").alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
-    flags = spark.sparkContext.broadcast(np.packbits(wanted))
+    # the filter is put together in the cluster, 64 bits a row; its size is fixed, and what it lets through too much is joined away
+    words = members.select(slot("class_id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
+    table = words.toArrow()
+    wanted = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    wanted[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    flags = spark.sparkContext.broadcast(wanted)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.unpackbits(flags.value).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(keep[batch.column(2).to_numpy()]))
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((flags.value[at >> 6] >> (at & 63) & 1).astype(bool)))
             for a, sets in _sets(batch.column(1), size):
                 keys = [_key(s) for s in sets]
                 columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())]
@@ -330,15 +372,15 @@ def _whole_sets(spark: SparkSession, docs: DataFrame, members: DataFrame, size:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(whole, "doc_id long, n long, k1 long, k2 long, shingles binary")
 
 
-def _dealt(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _dealt(spark: SparkSession, members: DataFrame, sets: DataFrame) -> DataFrame:
     """Each member's row once for each pair of blocks that it takes part in: blocks of its size band and of the next ones."""
-    sized = members.groupBy("family", "band").agg(F.count(F.lit(1)).alias("m"))
-    salts = sized.select("family", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("s"))
+    sized = members.groupBy("family", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+    salts = sized.select("family", "band", "m", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("s"))
     above = salts.select("family", (F.col("band") - 1).alias("band"), F.col("s").alias("s_up"))
     below = salts.select("family", (F.col("band") + 1).alias("band"), F.col("s").alias("s_down"))
     plan = salts.join(above, ["family", "band"], "left").join(below, ["family", "band"], "left").na.fill(0, ["s_up", "s_down"])
-    plan = plan.join(sized.groupBy("family").agg(F.sum("m").alias("m_all")).where("m_all > 1"), "family")
-    many = members.join(plan, ["family", "band"]).withColumn("salt", F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("s")).cast("int"))
+    plan = materialise(spark, plan.join(sized.groupBy("family").agg(F.sum("m").alias("m_all")).where("m_all > 1").select("family"), "family"), "blocks")
+    many = join_counted(members, plan, ["family", "band"], ["class_no"], "m").withColumn("salt", F.pmod(F.xxhash64("class_no", F.lit(7)), F.col("s")).cast("int"))
     many = many.join(sets, ["class_id", "n", "k1", "k2"])
     b, s = F.col("band"), F.col("salt")
     place = lambda b1, s1, b2, s2, side: F.struct(b1.alias("b1"), s1.alias("s1"), b2.alias("b2"), s2.alias("s2"), side.alias("side"))
@@ -346,15 +388,15 @@ def _dealt(members: DataFrame, sets: DataFrame) -> DataFrame:
     own = F.transform(upto(F.col("s")), lambda o: place(b, F.least(s, o), b, F.greatest(s, o), F.when(s <= o, 0).otherwise(1)))
     up = F.transform(upto(F.col("s_up")), lambda o: place(b, s, b + 1, o, F.lit(0)))
     down = F.transform(upto(F.col("s_down")), lambda o: place(b - 1, o, b, s, F.lit(1)))
-    dealt = many.select("family", "group_id", "class_id", "n", "copies", "prefix", "shingles", F.explode(F.concat(own, up, down)).alias("p"))
+    dealt = many.select("family", "group_no", "class_no", "n", "copies", "prefix", "shingles", F.explode(F.concat(own, up, down)).alias("p"))
     return dealt.select("*", "p.*").drop("p").withColumn("same", F.expr("b1 = b2 AND s1 = s2"))
 
 
 def keep_one_per_component(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that aren't the first of their component; one row of each repeated id with equal sets stays.
+    """docs without those that aren't of the least id of their component. Rows of one id and one text stay or go together.
 
     Rows with null ids and rows without words all stay, as they link with nothing that has an id.
     """
     found = jaccard_components(spark, docs, size=size, percent=percent)
-    gone = found.where("n_shingles > 0 AND doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = found.where("n_shingles > 0 AND doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
