@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from stratalake.llm import components, decontaminate, entry, license_scan, line_dedup, ngram_jaccard
+from stratalake.llm import common, components, decontaminate, entry, license_scan, line_dedup, ngram_jaccard
 from tests_llm_brute import brute_components, brute_distance, brute_lines
 
 SF = "/root/testdata/sf0.001"
@@ -52,6 +52,29 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in got) == brute_components(rows, 4, 85)
 
 
+def test_components_of_repeated_ids(spark):
+    """Rows of one id and different texts are rows of different sets."""
+    rng = random.Random(8)
+    base = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(120)) for _ in range(3)]
+    a, b, c = base
+    for rows in (
+        [(1, b), (1, a), (2, b + " x"), (4, a + " y")],
+        [(1, a), (1, b), (2, b + " x")],
+        [(1, a), (1, b), (2, b + " x"), (3, c), (0, a + " z"), (0, c + " z")],
+    ):
+        got = ngram_jaccard.jaccard_components(spark, frame(spark, rows)).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in got) == brute_components(rows, 4, 85)
+
+
+def test_hot_keys_lose_no_link(spark, monkeypatch):
+    rows = near_copies()
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SHINGLES", 900)
+    monkeypatch.setattr(ngram_jaccard, "HELD", 64)
+    got = ngram_jaccard.jaccard_components(spark, frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in got) == brute_components(rows, 4, 85)
+
+
 def test_components_of_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -84,6 +107,16 @@ def test_lines_by_brute_force(spark):
     assert line_dedup.dedup_lines(spark, frame(spark, [])).count() == 0
 
 
+def test_whole_runs_go(spark, monkeypatch):
+    """Short last lines of a repeated run, indented lines and lines of a hot key."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    long = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, f"{long}\nshort one\nend"), (2, f"other\n{long}\nshort one\nend"), (3, f"{long}\nshort one\nend\nmore"), (4, "          x\n          y"), (5, "          x\n          y"), (6, "a\tb\tc\td\te\tf\tg\th\ti\tj"), (7, "a\tb\tc\td\te\tf\tg\th\ti\tj\n\t")]
+    got = {r.doc_id: (r.text, r.n_deleted, r.n_left) for r in line_dedup.dedup_lines(spark, frame(spark, rows)).collect()}
+    assert sorted((str(i), t, n) for i, (t, n, _) in got.items()) == sorted((i, t, n) for i, t, _, n in brute_lines(rows, 10))
+    assert got[2][:2] == ("other", 3) and got[3][:2] == ("more", 3) and got[5][1] == 0 and got[7] == ("\t", 1, 0)
+
+
 def test_decontamination_by_brute_force(spark):
     rng = random.Random(9)
     letters = "abcdefg "

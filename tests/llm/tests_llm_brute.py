@@ -40,19 +40,20 @@ def brute_components(rows, size, percent):
 def brute_lines(rows, min_words):
     docs = sorted({(i if i is not None else -(2**63), t) for i, t in rows if t is not None}, key=lambda r: (r[0],))
     assert len({i for i, _ in docs}) == len(docs), "ids of the fixture are distinct but for repeated rows"
-    seen, gone = set(), defaultdict(set)
-    for i, t in docs:
-        lines = [(k, x) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
-        for s in range(len(lines)):
-            words, n = 0, 0
-            while s + n < len(lines) and words < min_words:
-                words += lines[s + n][1].count(" ") + 1
-                n += 1
-            if words >= min_words:
-                key = tuple(x for _, x in lines[s : s + n])
-                if key in seen:
-                    gone[i] |= {k for k, _ in lines[s : s + n]}
-                seen.add(key)
+    texts = {i: [(k, x) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in docs}
+    gone, places = defaultdict(set), defaultdict(list)
+    for i, lines in texts.items():
+        for s, (_, x) in enumerate(lines):
+            # the longest run from here on that an earlier place has too
+            best = 0
+            for j, q in places[x]:
+                n = 0
+                while s + n < len(lines) and q + n < len(texts[j]) and lines[s + n][1] == texts[j][q + n][1]:
+                    n += 1
+                best = max(best, n)
+            if sum(len(y.split()) for _, y in lines[s : s + best]) >= min_words:
+                gone[i] |= {k for k, _ in lines[s : s + best]}
+            places[x].append((i, s))
     out = []
     for i, t in rows:
         if t is None:
