@@ -2,8 +2,9 @@
 
 Each language has a codeword; for each bit, a linear classifier over letter n-grams (hashed 1- to 3-grams of the lower-cased
 text, all of it) predicts that bit. The loss of a text against a codeword is the sum over bits of weight * log(1 + exp(-margin)),
-the weights being the classifiers' own training accuracies above chance; the codeword of least loss wins, and a text whose two
-best losses are close is flagged as ambiguous. A distance of the codewords beyond two lets single bits fail.
+the weights being the classifiers' accuracies above chance on the half of the sampled rows that they weren't fitted on; the
+codeword of least loss wins, and a text whose two best losses are close is flagged as ambiguous. From four languages on the
+codewords are four bits or more apart, so a single bit may fail; two or three languages have too few splits for that.
 
 The codes choose among the learned languages only. Whether a text is of any of them is told by its likeness: the mean
 log-share of its n-grams in a language, above a floor that is calibrated on the labelled rows, each left out of its own language.
@@ -23,13 +24,14 @@ from stratalake.llm.common import spans, text_buffer
 
 #: Hashed features; a text's vector has this length.
 BUCKETS = 1 << 13
-#: Training rows for each language, those of the least hash of the text in each of STRATA strata.
-SAMPLE, STRATA = 640, 64
+#: Training rows for each language, those of the least hash of the text in each of STRATA strata. With many languages each has
+#: fewer, so that all have TOTAL at most, but two or more.
+SAMPLE, STRATA, TOTAL = 640, 64, 5120
 MARGIN = 0.15
 #: Added to the shares of n-grams before the logarithm. A language's floor: this quantile of its labelled rows' log-shares, less SLACK.
 UNSEEN, LOWEST, SLACK = 1e-6, 0.01, 2.5
-#: Bytes of texts whose n-grams are counted at a time.
-PORTION = 1 << 19
+#: Bytes and rows of texts whose n-grams are counted at a time.
+PORTION, ROWS = 1 << 19, 256
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
@@ -85,7 +87,7 @@ def vectors(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     A text longer than a span is counted in portions that overlap by an n-gram, so it needs no more memory than others.
     """
     data, offsets = text_buffer(column)
-    for a, b in spans(offsets, PORTION):
+    for a, b in spans(offsets, PORTION, ROWS):
         first, last = int(offsets[a]), int(offsets[b])
         counts, letters = np.zeros((b - a) * BUCKETS, np.int64), np.zeros(b - a, bool)
         if b - a == 1:
@@ -152,52 +154,73 @@ def _sparse(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text", "h").mapInArrow(run, "lang string, h long, at binary, share binary")
 
 
-def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, rounds: int = 60) -> Model:
-    """Fit on the rows of docs with text and lang: for each language the rows of least hash, sample in all (a documented bound).
+def _weights(z: np.ndarray, y: np.ndarray, share: np.ndarray, rounds: int) -> np.ndarray:
+    """Ridge weights of each bit by conjugate gradients, scaled so that a logistic loss fits the margins."""
+    w = np.zeros((z.shape[1], y.shape[1]), np.float32)
+    r = z.T @ (share * y)
+    p, rs = r.copy(), (r * r).sum(0)
+    for _ in range(rounds):
+        ap = z.T @ (share * (z @ p)) + 1e-3 * len(z) / 1000 * p
+        step = rs / np.maximum((p * ap).sum(0), 1e-30)
+        w += step * p
+        r -= step * ap
+        new = (r * r).sum(0)
+        p = r + new / np.maximum(rs, 1e-30) * p
+        rs = new
+    return 4 * w
+
+
+def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, rounds: int = 60, total: int = TOTAL) -> Model:
+    """Fit on the rows of docs with text and lang: for each language the rows of least hash, near sample of them and all
+    languages together near total (documented bounds of the training sample; whole texts are used).
 
     A table without such rows gives a model without languages, which says und of everything.
     """
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND length(trim(text)) > 0").select("text", "lang", F.xxhash64("text").alias("h"))
-    rows = rows.withColumn("stratum", F.pmod(F.shiftright("h", 8), F.lit(STRATA)))
-    # the hash up to which each stratum's rows are taken is found without texts
+    n_languages = rows.select("lang").distinct().count()
+    sample = min(sample, max(2, total // max(1, n_languages)))
+    # the hashes up to which rows are taken are found without texts
+    strata = min(STRATA, sample)
+    rows = rows.withColumn("stratum", F.pmod(F.shiftright("h", 8), F.lit(strata)))
     least = Window.partitionBy("lang", "stratum").orderBy("h")
-    cuts = rows.select("lang", "stratum", "h").withColumn("k", F.row_number().over(least)).where(F.col("k") <= -(-sample // STRATA)).groupBy("lang", "stratum").agg(F.max("h").alias("cut"))
+    cuts = rows.select("lang", "stratum", "h").distinct().withColumn("k", F.row_number().over(least)).where(F.col("k") <= -(-sample // strata)).groupBy("lang", "stratum").agg(F.max("h").alias("cut"))
     rows = rows.join(F.broadcast(cuts), ["lang", "stratum"]).where("h <= cut").select("lang", "text", "h").distinct()
     table = _sparse(rows).toArrow().sort_by([(c, "ascending") for c in ("lang", "h", "at", "share")])
+    # the rows of even places first: the halves are slices, not copies
+    table = table.take(pa.array(np.argsort(np.arange(len(table)) % 2, kind="stable")))
     names = table.column("lang").to_pylist()
     languages = sorted(set(names))
     code = codewords(len(languages))
     if not languages:
         return Model([], code, np.zeros((BUCKETS + 1, 1)), np.ones(1), np.zeros((BUCKETS, 0)), np.zeros(0))
-    x = np.zeros((len(names), BUCKETS), np.float32)
-    for i, (at, share) in enumerate(zip(table.column("at").to_pylist(), table.column("share").to_pylist(), strict=True)):
-        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(share, np.float32)
-    y = code[np.searchsorted(languages, names)]
-    # each bit: ridge by conjugate gradients, then margins scaled so that a logistic loss fits
-    z = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
-    count = np.array([names.count(n) for n in languages])
-    share = (1 / count)[np.searchsorted(languages, names)][:, None] * len(names) / len(languages)
-    share, y = share.astype(np.float32), y.astype(np.float32)
-    w = np.zeros((z.shape[1], y.shape[1]), np.float32)
-    r = z.T @ (share * y)
-    p, rs = r.copy(), (r * r).sum(0)
-    for _ in range(rounds):
-        ap = z.T @ (share * (z @ p)) + 1e-3 * len(z) / 1000 * p
-        step = rs / np.maximum((p * ap).sum(0), 1e-30)
-        w += step * p
-        r -= step * ap
-        new = (r * r).sum(0)
-        p = r + new / np.maximum(rs, 1e-30) * p
-        rs = new
-    w *= 4
-    right = ((z @ w) * y > 0).mean(0)
+    z = np.zeros((len(names), BUCKETS + 1), np.float32)
+    z[:, -1] = 1
+    for i, (at, value) in enumerate(zip(table.column("at"), table.column("share"), strict=True)):
+        z[i, np.frombuffer(at.as_py(), np.uint16)] = np.frombuffer(value.as_py(), np.float32)
+    del table
+    which = np.searchsorted(languages, names)
+    y = code[which].astype(np.float32)
+    # every language counts the same, however many rows it has
+    share = ((1 / np.bincount(which))[which][:, None] * len(names) / len(languages)).astype(np.float32)
+    w = _weights(z, y, share, rounds)
+    # a bit's weight: how often it is right on rows of the half that it wasn't fitted on
+    halves = (slice(0, -(-len(names) // 2)), slice(-(-len(names) // 2), None))
+    if len(names) >= 2 * len(languages):
+        right = np.concatenate([(z[rest] @ _weights(z[own], y[own], share[own], rounds)) * y[rest] > 0 for own, rest in (halves[::-1], halves)])
+    else:
+        right = (z @ w) * y > 0
     log_share, floor = np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    for k, language in enumerate(languages):
-        share = np.square(x[[i for i, n in enumerate(names) if n == language]], dtype=np.float64)
-        log_share[:, k] = np.log(share.mean(0) + UNSEEN)
-        others = np.maximum(share.sum(0) - share, 0) / max(len(share) - 1, 1)
-        floor[k] = np.quantile((share * np.log(others + UNSEEN)).sum(1), LOWEST) - SLACK
-    return Model(languages, code, w, np.maximum(right - 0.5, 1e-3), log_share, floor)
+    for k in range(len(languages)):
+        portions = np.array_split(np.flatnonzero(which == k), -(-int((which == k).sum()) // 64))
+        sums = np.sum([np.square(z[i, :-1], dtype=np.float64).sum(0) for i in portions], 0)
+        n = int((which == k).sum())
+        log_share[:, k] = np.log(sums / n + UNSEEN)
+        suits = []
+        for i in portions:
+            own = np.square(z[i, :-1], dtype=np.float64)
+            suits.append((own * np.log(np.maximum(sums - own, 0) / max(n - 1, 1) + UNSEEN)).sum(1))
+        floor[k] = np.quantile(np.concatenate(suits), LOWEST) - SLACK
+    return Model(languages, code, w, np.maximum(right.mean(0) - 0.5, 1e-3), log_share, floor)
 
 
 def classify(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
