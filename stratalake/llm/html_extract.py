@@ -1,17 +1,21 @@
 """Main text of web pages, with site templates removed.
 
-A page is read once into blocks of text under a stack of open elements. Container subtrees (divisions, sections, lists, tables,
-...) are hashed by their tags, classes and text; Spark counts the pages of each host that have each hash, and subtrees that
-recur across many pages of a host are that site's template and are deleted. What is left is the article (or main) element, or
-the body without one, less the elements that are never main text: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, told by tag, role, class or id.
+A page is read once, in linear time, into elements and blocks of text. Container subtrees (divisions, sections, lists, tables, ...)
+are hashed bottom-up, each element once, in two ways: with their tags, class names and text; and, for subtrees of nothing but
+links outside the main text, without what the links say and how many follow each other, as menus differ from page to page.
+Spark counts the pages of each host that have each hash, and subtrees that recur across many pages of a host are that site's
+template and are deleted. What is left is the article (or main) element, or the body without one, less the elements that are
+never main text: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
+tag, role, class or id.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -20,7 +24,9 @@ from pyspark.sql import functions as F
 
 from stratalake.llm.common import materialise
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: A tag's rest up to its end or to a quote that nothing closes.
+REST = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -28,16 +34,20 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Starting one of these ends an open p.
 ENDS_P = BLOCK - {"body", "head", "html", "option", "select", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+RAW_END = {t: re.compile(rf"</{t}(?![a-z0-9])", re.I) for t in RAW}
+FENCES = frozenset("article main td th body".split())
 CONTAINERS = frozenset("div section aside nav header footer ul ol dl menu table form details figure fieldset center".split())
 NEVER = frozenset("head nav footer aside form script style noscript template iframe svg canvas object select button textarea title menu dialog audio video map input label fieldset".split())
-#: Words of class, id and role names of what isn't main text.
+#: Words of class, id and role names of what isn't main text, wherever it stands.
 WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side aside "
-    "menu nav navbar navigation breadcrumb breadcrumbs toc topbar footer bottombar comment comments commentlist disqus replies reply discussion respond "
-    "share sharing social related recommended newsletter subscribe subscription signup login search form widget toolbar pagination pager skip contentinfo complementary".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices popup modal overlay sidebar "
+    "menu nav navbar navigation breadcrumb breadcrumbs topbar footer bottombar comment comments commentlist disqus replies reply respond "
+    "newsletter subscribe subscription signup login pagination contentinfo complementary".split()
 )
-#: Site headers, unless they stand inside the main text.
-HEADERS = frozenset({"header", "masthead"})
+#: Words that may also name a section of an article: they count outside the main text only.
+OUTSIDE = frozenset("side aside toc alert discussion share sharing social related recommended promotion search form widget toolbar pager skip header masthead".split())
+#: Names of what holds the main text on a page without article and main.
+INSIDE = frozenset("article content entry main post story".split())
 #: A name that begins so tells of something else on the page, such as has-sidebar.
 ABOUT = frozenset({"has", "with", "no", "without", "is", "not"})
 NAME = re.compile(r"[a-z]+")
@@ -48,11 +58,11 @@ MANY_PAGES, SHARE = 5, 0.3
 SENT_HASHES, SALTS = 1 << 20, 64
 
 
-def _named(attributes: str) -> tuple[str, bool, bool]:
-    """(class and id, whether they or the role name something that isn't main text, whether they name a header)."""
+def _named(attributes: str) -> tuple[str, bool, bool, bool]:
+    """(class and id; whether names or role say that it isn't main text, that it isn't outside the main text, that it holds it)."""
     if not attributes or "=" not in attributes:
-        return "", bool(attributes) and attributes.strip().lower() == "hidden", False
-    names, out, header = [], False, False
+        return "", bool(attributes) and attributes.strip().lower() == "hidden", False, False
+    names, out, outside, inside = [], False, False, False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
@@ -66,57 +76,120 @@ def _named(attributes: str) -> tuple[str, bool, bool]:
                 words = NAME.findall(name)
                 if words and words[0] not in ABOUT:
                     out |= not WORDS.isdisjoint(words)
-                    header |= not HEADERS.isdisjoint(words)
-    return " ".join(names), out, header
+                    outside |= not OUTSIDE.isdisjoint(words)
+                    inside |= not INSIDE.isdisjoint(words)
+    return " ".join(names), out, outside, inside
+
+
+class Element(NamedTuple):
+    tag: str
+    names: str
+    never: bool  # never main text
+    outside: bool  # not main text outside of it
+    holds: bool  # named as what holds the main text
+    parent: int
+    first: int  # its first block
+
+
+def _digest(*parts: bytes) -> int:
+    return xxhash.xxh64_intdigest(b"\0".join(parts)) - (1 << 63)
+
+
+def _pack(n: int) -> bytes:
+    return n.to_bytes(8, "little", signed=True)
 
 
 class Page:
-    """Blocks of text of one page, each with the open elements that it stands in."""
+    """Blocks of text of one page, and the open elements that they stand in. Reading and hashing are linear in the page."""
 
     def __init__(self, source: str):
-        #: (text, ids of the elements around it)
-        self.blocks: list[tuple[str, tuple[int, ...]]] = []
-        #: tag (header for what is named so), class and id, never main text, first and last block of each element
-        self.elements: list[list] = []
+        #: (text, the innermost element around it, whether all of it stands in links)
+        self.blocks: list[tuple[str, int, bool]] = []
+        self.elements: list[Element] = []
+        #: The end of each element's blocks; its child elements k and blocks ~b in order.
+        self.ends: list[int] = []
+        self.kids: list[list[int]] = []
         self._read(source)
 
     def _read(self, source: str) -> None:
         stack: list[int] = []
         tags: list[str] = []
+        opened: Counter[str] = Counter()
         parts: list[str] = []
-        elements = self.elements
+        plain = False  # whether the open block has text outside of links
+        elements, ends, kids, blocks = self.elements, self.ends, self.kids, self.blocks
+
+        def say(text: str) -> None:
+            nonlocal plain
+            parts.append(text)
+            if not plain and not opened["a"] and not text.isspace():
+                plain = True
 
         def flush() -> None:
+            nonlocal plain
             if parts:
                 text = " ".join("".join(parts).split())
                 parts.clear()
                 if text:
-                    self.blocks.append((text, tuple(stack)))
+                    if stack:
+                        kids[stack[-1]].append(~len(blocks))
+                    blocks.append((text, stack[-1] if stack else -1, not plain))
+            plain = False
 
         def close(depth: int) -> None:
             if any(t in BLOCK for t in tags[depth:]):
                 flush()
             for k in stack[depth:]:
-                elements[k][4] = len(self.blocks)
+                ends[k] = len(blocks)
+            for t in tags[depth:]:
+                opened[t] -= 1
             del stack[depth:], tags[depth:]
 
+        def depth_of(tag: str) -> int:
+            depth = len(tags) - 1
+            while tags[depth] != tag:
+                depth -= 1
+            return depth
+
         at, end = 0, len(source)
+        last = {q: source.rfind(q) for q in "\"'"}
         while at < end:
-            m = TOKEN.search(source, at)
-            if m is None:
-                parts.append(html.unescape(source[at:]))
+            start = source.find("<", at)
+            if start < 0:
+                say(html.unescape(source[at:]))
                 break
-            if m.start() > at:
-                parts.append(html.unescape(source[at : m.start()]))
-            at = m.end()
-            if m[2] is None:
+            if start > at:
+                say(html.unescape(source[at:start]))
+            if source.startswith("<!--", start):
+                stop = source.find("-->", start + 4)
+                at = stop + 3 if stop >= 0 else end
                 continue
+            m = TAG.match(source, start + 1)
+            if m is None:
+                if source[start + 1 : start + 2] in ("!", "?") and (stop := source.find(">", start)) >= 0:
+                    at = stop + 1
+                else:
+                    say("<")
+                    at = start + 1
+                continue
+            # quotes that nothing closes are letters like others; each is met once, as it is the last of its kind
+            at = REST.match(source, m.end()).end() if source.find(">", m.end()) >= 0 else end
+            while at < end and source[at] != ">":
+                at = REST.match(source, at + 1).end()
+            if at >= end:
+                # a tag that never ends: all the rest is text
+                say(html.unescape(source[start:]))
+                break
+            attributes = source[m.end() : at]
+            at += 1
             tag = m[2].lower()
             if m[1]:
-                if tag in tags:
-                    depth = len(tags) - 1 - tags[::-1].index(tag)
+                if opened[tag]:
+                    depth = len(tags) - 1
                     # an end tag doesn't reach out of the article or table cell around it
-                    if tag in BLOCK or not any(t in ("article", "main", "td", "th", "body") for t in tags[depth:]):
+                    while tags[depth] != tag and (tag in BLOCK or tags[depth] not in FENCES):
+                        depth -= 1
+                    if tags[depth] == tag:
                         close(depth)
                 elif tag == "br":
                     parts.append(" ")
@@ -124,73 +197,100 @@ class Page:
             if tag == "br":
                 parts.append(" ")
                 continue
-            if tag in ENDS_P and "p" in tags:
-                close(len(tags) - 1 - tags[::-1].index("p"))
+            if tag in ENDS_P and opened["p"]:
+                close(depth_of("p"))
             if tag in IMPLIED:
                 ended, scope = IMPLIED[tag]
-                for depth in range(len(tags) - 1, -1, -1):
-                    if tags[depth] in scope:
-                        break
-                    if tags[depth] in ended:
-                        close(depth)
-                        break
+                if any(opened[t] for t in ended):
+                    for depth in range(len(tags) - 1, -1, -1):
+                        if tags[depth] in scope:
+                            break
+                        if tags[depth] in ended:
+                            close(depth)
+                            break
             if tag in BLOCK:
                 flush()
-            if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
+            if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
                 continue
-            names, out, header = _named(m[3])
-            # the page's frame and its main elements are what they are, however they are styled
-            out &= tag not in ("html", "body", "main")
             if tag in RAW:
                 # the element's text isn't markup and never main text
-                stop = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(source, at)
-                at = stop.end() if stop else end
+                stop = RAW_END[tag].search(source, at)
+                at = source.find(">", stop.end()) + 1 if stop else 0
+                at = at or end
                 continue
-            named = "header" if header and tag in CONTAINERS else tag
-            elements.append([named, names, out or tag in NEVER, len(self.blocks), -1])
+            names, out, outside, holds = _named(attributes)
+            # the page's frame and its main elements are what they are, however they are styled
+            frame = tag in ("html", "body", "main")
+            if stack:
+                kids[stack[-1]].append(len(elements))
+            elements.append(Element(tag, names, tag in NEVER or out and not frame, tag == "header" or outside and not frame, holds, stack[-1] if stack else -1, len(blocks)))
+            ends.append(-1)
+            kids.append([])
             stack.append(len(elements) - 1)
             tags.append(tag)
+            opened[tag] += 1
         flush()
         for k in stack:
-            elements[k][4] = len(self.blocks)
+            ends[k] = len(blocks)
 
     def main(self) -> str:
         """The tag that holds the main text: article or main where one has text, else empty for the whole page."""
         for want in ("article", "main"):
-            if any(e[0] == want and not e[2] and e[4] > e[3] for e in self.elements):
+            if any(e.tag == want and not e.never and end > e.first for e, end in zip(self.elements, self.ends, strict=True)):
                 return want
         return ""
 
-    def subtrees(self) -> dict[int, int]:
-        """Hash of each container element with text."""
-        out = {}
-        for k, (tag, names, _, a, b) in enumerate(self.elements):
-            if tag in CONTAINERS and b > a:
-                lines = [tag, names]
-                for text, around in self.blocks[a:b]:
-                    at = around.index(k) if k in around else -1
-                    lines.append("/".join(self.elements[j][0] for j in around[at + 1 :]) + " " + text)
-                out[k] = xxhash.xxh64_intdigest("\n".join(lines)) - (1 << 63)
+    def inside(self) -> list[bool]:
+        """Whether each element lies in the main text: in the article or main, or, without these, in what is named like them."""
+        want, out = self.main(), []
+        for e in self.elements:
+            out.append((e.parent >= 0 and out[e.parent]) or (e.tag == want if want else e.holds) and not e.never)
+        return out
+
+    def subtrees(self) -> dict[int, list[int]]:
+        """Hashes of each container element with text: with its text, and, for lists of links outside the main text, without."""
+        n = len(self.elements)
+        whole, blind, linked = [b""] * n, [b""] * n, [False] * n
+        own = [_pack(_digest(t.encode())) for t, _, _ in self.blocks]
+        inside, out = self.inside(), {}
+        half = sum(len(t) for t, _, _ in self.blocks) / 2
+        chars = [0] * n
+        for k in range(n - 1, -1, -1):
+            e = self.elements[k]
+            if self.ends[k] == e.first:
+                continue
+            parts, shapes, links = [], [], True
+            for kid in self.kids[k]:
+                if kid < 0:
+                    text, _, link = self.blocks[~kid]
+                    part, shape = own[~kid], b"a" if link else own[~kid]
+                    links &= link
+                    chars[k] += len(text)
+                elif whole[kid]:
+                    part, shape = whole[kid], blind[kid]
+                    links &= linked[kid]
+                    chars[k] += chars[kid]
+                else:
+                    continue
+                parts.append(part)
+                if not shapes or shapes[-1] != shape:
+                    shapes.append(shape)
+            tag = e.tag.encode()
+            whole[k], blind[k], linked[k] = _pack(_digest(tag, *parts)), _pack(_digest(tag, *shapes)), links
+            if e.tag in CONTAINERS:
+                out[k] = [_digest(b"whole", e.names.encode(), whole[k])]
+                if links and self.ends[k] - e.first > 1 and not inside[k] and chars[k] <= half:
+                    out[k].append(_digest(b"links", e.names.encode(), blind[k]))
         return out
 
     def text(self, template: set[int]) -> str:
-        want = self.main()
-        gone = {k for k, h in self.subtrees().items() if h in template} if template else set()
-        out = []
-        for text, around in self.blocks:
-            inside = not want
-            ok = True
-            for k in around:
-                tag, _, never, _, _ = self.elements[k]
-                if tag == want and not never:
-                    inside = True
-                # a heading's header inside the article is the article's own
-                if k in gone or never or tag == "header" and not inside:
-                    ok = False
-                    break
-            if ok and inside:
-                out.append(text)
-        return "\n".join(out)
+        want, inside, gone = self.main(), self.inside(), set()
+        if template:
+            gone = {k for k, hashes in self.subtrees().items() if not template.isdisjoint(hashes)}
+        lost: list[bool] = []
+        for k, e in enumerate(self.elements):
+            lost.append(e.never or k in gone or (e.outside and not inside[k]) or (e.parent >= 0 and lost[e.parent]))
+        return "\n".join(t for t, k, _ in self.blocks if (not want if k < 0 else not lost[k] and (inside[k] or not want)))
 
 
 def host_of(url):
@@ -212,7 +312,7 @@ def extract_text(spark: SparkSession, pages: DataFrame, many_pages: int = MANY_P
         for batch in batches:
             hosts, hashes = [], []
             for source, host in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = sorted(set(Page(source.as_py()).subtrees().values())) if host and source.is_valid else []
+                found = sorted({h for both in Page(source.as_py()).subtrees().values() for h in both}) if host and source.is_valid else []
                 hosts += [host] * len(found)
                 hashes += found
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])

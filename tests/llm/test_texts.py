@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -374,3 +375,74 @@ def test_n_grams_in_portions(monkeypatch):
     monkeypatch.undo()
     got = list(langid_ecoc.vectors(pa.array([text, "x"])))
     assert np.allclose(got[0][1][0], whole[0])
+
+
+def brute_templates(pages):
+    """For each host, how many serialised container subtrees recur on 5 pages and 30 % of its pages; from the parsed pages by plain recursion."""
+    counts, sizes = {}, {}
+    for url, source in pages:
+        host = url.split("/")[2]
+        sizes[host] = sizes.get(host, 0) + 1
+        page, found = html_extract.Page(source), set()
+        inside = page.inside()
+
+        def shape(k, blind):
+            parts = []
+            for kid in page.kids[k]:
+                if kid < 0:
+                    part = "LINK" if blind and page.blocks[~kid][2] else page.blocks[~kid][0]
+                elif page.ends[kid] > page.elements[kid].first:
+                    part = shape(kid, blind)
+                else:
+                    continue
+                if not (blind and parts and parts[-1] == part):
+                    parts.append(part)
+            return (page.elements[k].tag, tuple(parts))
+
+        total = sum(len(t) for t, _, _ in page.blocks)
+        for k, e in enumerate(page.elements):
+            own = page.blocks[e.first : page.ends[k]]
+            if e.tag in html_extract.CONTAINERS and own:
+                found.add((e.names, False, shape(k, False)))
+                if len(own) > 1 and all(link for _, _, link in own) and not inside[k] and 2 * sum(len(t) for t, _, _ in own) <= total:
+                    found.add((e.names, True, shape(k, True)))
+        for x in found:
+            counts[host, x] = counts.get((host, x), 0) + 1
+    return {h: sum(n >= 5 and n >= 0.3 * sizes[h] for (g, _), n in counts.items() if g == h) for h in sizes}
+
+
+def test_templates_by_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(r.url, r.html) for r in pages.collect()]
+    want = brute_templates(rows)
+    got = {r.url: r.n_template for r in html_extract.extract_text(spark, pages).collect()}
+    assert got == {url: want[url.split("/")[2]] for url, _ in rows}
+    assert sum(want.values()) > 0
+
+
+def test_templates_are_told_without_words(spark):
+    """Lists of links that differ from page to page, and equal boxes, go by their recurrence alone; lists in articles stay."""
+    links = lambda k, n: "".join(f"<li><a href=/{k}/{j}>To {k} {j}</a>" for j in range(n))
+    body = lambda k: f"<p>Text of page {k} goes on for more than half of all that the page has to say, and on, and on, and on, and on.</p>"
+    rows = [(k, f"https://h.example/{k}", f"<body><div class=q7><ul>{links(k, 2 + k % 3)}</ul></div><div class=z3>Same box</div>{body(k)}") for k in range(8)]
+    rows += [(20 + k, f"https://g.example/{k}", f"<body><article>{body(k)}<ul>{links(k, 3)}</ul></article>") for k in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda k: body(k)[3:-4]
+    assert all(got[k] == text(k) for k in range(8))
+    assert all(got[20 + k] == "\n".join([text(k), *(f"To {k} {j}" for j in range(3))]) for k in range(8))
+    alone = {r.page_id: r.text for r in html_extract.extract_text(spark, spark.createDataFrame(rows[:3], "page_id long, url string, html string")).collect()}
+    assert alone[1] == "To 1 0\nTo 1 1\nTo 1 2\nSame box\n" + text(1)
+
+
+def test_sections_of_an_article_stay():
+    source = "<body><div class=search>find</div><article><section class=discussion><p>One</section><div class=related-work>Two</div><div class=comments>no</div></article><div class=related>out</div>"
+    assert html_extract.Page(source).text(set()) == "One\nTwo"
+
+
+@pytest.mark.parametrize("source", ["<div>x" * 20_000, "<a " * 50_000, '<a "' * 50_000, "<b>x" * 20_000 + "</i>" * 20_000, "<script>" * 30_000, "</script " * 30_000, "<li><td>x" * 5_000, "<a title='>" * 20_000])
+def test_broken_pages_take_linear_time(source):
+    began = time.perf_counter()
+    page = html_extract.Page(source)
+    page.subtrees()
+    page.text({1})
+    assert time.perf_counter() - began < 10
