@@ -1,9 +1,10 @@
 """License scans by diagonal voting.
 
-Templates (short phrases and license notices) are cut into rolling word k-grams. The k-grams of all whole texts are joined
-in Spark to the template positions; a match votes for the diagonal (place in the text minus place in the template). Votes
-are counted by text, template and diagonal, neighbouring diagonals are merged (words put in or left out), and each merged
-span is verified: a phrase must stand there in full, a notice must be covered by a share of its k-grams.
+Templates (short phrases and license notices) are cut into rolling word k-grams. The 64-bit hashes of all k-grams of all whole
+texts are joined in Spark to the template positions, and the words of a match are compared, so that hashes that happen to be
+equal don't count; a match votes for the diagonal (place in the text minus place in the template). Votes are gathered by text,
+template and diagonal, neighbouring diagonals are merged (words put in or left out), and each merged span is verified by the
+template positions that it holds, each counted once: a phrase must stand there in full, a notice with a share of its k-grams.
 """
 
 from __future__ import annotations
@@ -52,13 +53,27 @@ def _words(text: Column) -> Column:
 
 
 def _positions(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
-    """(template, k, at, gram): every rolling k-gram of every template; k is 2 for phrases, GRAM for notices."""
+    """(template, base, n_grams, at, gram, k, hash): every rolling k-gram of every template; k is 2 at most for phrases, GRAM for notices."""
     rows = []
     for t in templates:
         words = t.text.split()
-        k = 2 if t.base else min(GRAM, len(words))
-        rows += [(t.label, t.base, len(words) - k + 1, i, " ".join(words[i : i + k])) for i in range(len(words) - k + 1)]
-    return spark.createDataFrame(rows, "template string, base boolean, n_grams int, at int, gram string")
+        k = _size(t)
+        rows += [(t.label, t.base, len(words) - k + 1, i, words[i : i + k]) for i in range(len(words) - k + 1)]
+    grams = spark.createDataFrame(rows, "template string, base boolean, n_grams int, at int, gram array<string>").withColumn("k", F.size("gram"))
+    # the hash of a gram is that of its halves' hashes, as for texts
+    hashed = None
+    for k in sorted({_size(t) for t in templates}):
+        parts = [F.xxhash64(F.col("gram")[i]) for i in range(k)]
+        while len(parts) > 1:
+            parts = [F.xxhash64(a, b) for a, b in zip(parts[::2], parts[1::2], strict=True)]
+        part = grams.where(F.col("k") == k).withColumn("hash", parts[0])
+        hashed = part if hashed is None else hashed.unionByName(part)
+    return hashed
+
+
+def _size(t: Template) -> int:
+    """The size of a template's grams: a power of two, GRAM at most."""
+    return min(2 if t.base else GRAM, 1 << (len(t.text.split()).bit_length() - 1))
 
 
 def license_scan(spark: SparkSession, docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, gap: int = 3, share: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,30 +82,32 @@ def license_scan(spark: SparkSession, docs: DataFrame, templates: tuple[Template
     n_base counts the places where a phrase's words stand in full, first_word and last_word are the least and greatest of
     these starts (words from 0; null without any). labels adds the notices of which a share of the k-grams lies on one
     diagonal or on diagonals at most gap apart; score is the greatest share of any template found, 0 without any.
-    Null and empty texts have no words. Repeated rows and null ids are rows of their own (a row number by hash and partition
+    Null and empty texts have no words; of a very long text, a task holds the hashes of its grams (16 bytes a word and size).
+    A notice that a text repeats with more than gap words between counts as spans of their own, of which one must suffice. Repeated rows and null ids are rows of their own (a row number by hash and partition
     isn't needed: equal (id, text) rows have equal results and are joined as one). Other columns are ignored, whatever their
     names; an empty table gives an empty one. The templates are a parameter of bounded size and are broadcast.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.col(text_col)).alias("words"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"))
     grams = F.broadcast(_positions(spark, templates))
     base = {t.label for t in templates if t.base}
-    sizes = sorted({2 if t.base else min(GRAM, len(t.text.split())) for t in templates})
-    w = F.col("words")
-
-    def rolled(k: int):
-        n = F.size(w) - k + 1
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array().cast("array<string>"))
-
-    found = None
-    for k in sizes:
-        part = docs.select("doc_id", "mark", F.posexplode(rolled(k)).alias("place", "gram")).join(grams, "gram")
-        found = part if found is None else found.unionByName(part)
-    votes = found.groupBy("doc_id", "mark", "template", "base", "n_grams", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.countDistinct("at").alias("votes"))
+    sizes = sorted({_size(t) for t in templates})
+    # the hashes of k-grams for k = 1, 2, 4, ..., each from two of the size before; the last ones, which run out of the text, are null
+    hashed, k = docs.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w))), 1
+    while k < max(sizes):
+        h = F.col(f"h{k}")
+        after = F.slice(h, F.lit(k + 1), F.greatest(F.size(h) - k, F.lit(0)))
+        hashed = hashed.withColumn(f"h{2 * k}", F.zip_with(h, after, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b))))
+        k *= 2
+    places = hashed.select("doc_id", "mark", "words", F.posexplode(F.concat(*(F.col(f"h{k}") for k in sizes))).alias("place", "hash")).where("hash IS NOT NULL")
+    # a text's grams of one size stand behind those of the size before, as many as it has words
+    places = places.withColumn("place", F.pmod("place", F.size("words")))
+    found = places.join(grams, "hash").where(F.slice("words", F.col("place") + 1, F.col("k")) == F.col("gram"))
+    votes = found.groupBy("doc_id", "mark", "template", "base", "n_grams", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     # merge neighbouring diagonals of a notice: a new span begins where the step to the next one is wider than gap
     ordered = Window.partitionBy("doc_id", "mark", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(ordered)
     spans = votes.withColumn("span", F.sum(F.when(F.col("base") | step.isNull() | (step > gap), 1).otherwise(0)).over(ordered))
-    spans = spans.groupBy("doc_id", "mark", "template", "base", "n_grams", "span").agg(F.least(F.sum("votes"), F.first("n_grams")).alias("votes"), F.min("diagonal").alias("start"))
+    spans = spans.groupBy("doc_id", "mark", "template", "base", "n_grams", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"), F.min("diagonal").alias("start"))
     spans = spans.where((F.col("base") & (F.col("votes") == F.col("n_grams"))) | (~F.col("base") & (F.col("votes") >= share * F.col("n_grams"))))
     is_base = F.col("template").isin(*base)
     marks = spans.groupBy("doc_id", "mark").agg(

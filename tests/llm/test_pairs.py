@@ -8,7 +8,7 @@ import re
 import pytest
 
 from stratalake.llm import common, components, decontaminate, entry, license_scan, line_dedup, ngram_jaccard
-from tests_llm_brute import brute_components, brute_distance, brute_lines
+from tests_llm_brute import brute_components, brute_distance, brute_licenses, brute_lines
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, n long, component string, mark string"
@@ -234,3 +234,23 @@ def test_components_beyond_one_task(spark, monkeypatch, most):
     alone = {x for x in least if all(x not in e or e[0] == e[1] for e in edges)}
     got = components.connected_components(spark, spark.createDataFrame(edges, "u long, v long").repartition(5))
     assert {r.node: r.component for r in got.collect()} == {x: c for x, c in least.items() if x not in alone}
+
+
+def test_labels_by_brute_force(spark):
+    rng = random.Random(4)
+    templates = license_scan.BASE + license_scan.NOTICES
+    rows = []
+    for k in range(120):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            w = rng.choice(templates).text.split()
+            a = rng.randint(0, len(w) // 3)
+            w = w[a : rng.randint(a, len(w))] if rng.random() < 0.5 else w
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(w) + 1)
+                w = w[:at] + [rng.choice(["uh", "the", "of"])] + w[at + rng.randint(0, 1) :]
+            parts += w + ["x"] * rng.randint(0, 6)
+        rows.append((k, " ".join(parts)))
+    rows += [(500, None), (501, ""), (None, "CC-BY and cc by"), (502, "general public " * 30 + "license")]
+    got = {str(r.doc_id): (r.labels, r.score) for r in license_scan.license_scan(spark, frame(spark, rows), templates).collect()}
+    assert got == {str(i): brute_licenses(t, templates, 3, 0.7) for i, t in rows}

@@ -75,3 +75,29 @@ def brute_distance(item, text):
             new[j + 1] = min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1)
         row = new
     return int(row.min())
+
+
+def brute_licenses(text, templates, gap, share):
+    """(labels, score) of a text, by holding every place against every template position."""
+    w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if x]
+    labels, score = set(), 0.0
+    for t in templates:
+        words = t.text.split()
+        k = 2 if t.base else min(4, len(words))
+        n = len(words) - k + 1
+        votes = defaultdict(set)
+        for place in range(len(w) - k + 1):
+            for at in range(n):
+                if w[place : place + k] == words[at : at + k]:
+                    votes[place - at].add(at)
+        spans, before = [], None
+        for d in sorted(votes):
+            if t.base or before is None or d - before > gap:
+                spans.append(set())
+            spans[-1] |= votes[d]
+            before = d
+        best = max((len(s) / n for s in spans), default=0)
+        if best >= (1 if t.base else share):
+            labels.add(t.label)
+            score = max(score, best)
+    return ",".join(sorted(labels)), score
