@@ -100,10 +100,10 @@ def vectors(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
                 if at == first:
                     counts += _grams(np.concatenate([[32], d[:2]]), np.zeros(1, np.int64), 1)
         else:
-            # blanks around the texts keep their n-grams apart
+            # two blanks between the texts keep their n-grams of up to three bytes apart
             begin = np.concatenate([offsets[a:b], [last]]) - first
-            d = np.insert(_folded(data[first:last]), begin, 32)
-            ends = begin + np.arange(b - a + 1)
+            d = np.insert(_folded(data[first:last]), np.repeat(begin, 2), 32)
+            ends = begin + 2 * np.arange(b - a + 1)
             row = np.repeat(np.arange(b - a), np.diff(ends))
             counts += _grams(d, row, b - a)
             letters = np.bincount(row[d[: len(row)] != 32], minlength=b - a) > 0

@@ -446,3 +446,59 @@ def test_broken_pages_take_linear_time(source):
     page.subtrees()
     page.text({1})
     assert time.perf_counter() - began < 10
+
+
+def test_tensors_by_plain_inverse_transform():
+    """Coefficients of all frequencies, doubled chroma and colours against the formulas of the standard, sample by sample."""
+    rng = np.random.default_rng(3)
+    n = 6 * 2 * 1
+    c = np.zeros((n, 64), np.int16)
+    c[:, 0] = rng.integers(-128, 128, n)
+    for k in range(n):
+        at = rng.choice(np.arange(1, 64), 12, replace=False)
+        c[k, at] = rng.integers(-60, 60, 12)
+    (data,) = media_jpeg.encode_images(c, [(2, 1)], [n * 64])
+    back, images, starts = media_jpeg.decode_coefficients([data])
+    assert (back[: len(c)] == c).all()
+    ((_, t),) = media_jpeg.tensors(back, images, starts)
+    x = np.arange(8)
+    basis = np.cos((2 * x[:, None] + 1) * x[None] * np.pi / 16) * np.where(x == 0, np.sqrt(0.5), 1.0)[None] / 2
+    zigzag = sorted(range(64), key=lambda k: (k // 8 + k % 8, (k // 8) if (k // 8 + k % 8) % 2 else (k % 8)))
+    def plane(comp):
+        p = images[0].components[comp]
+        q = images[0].quants[p.quant]
+        out = np.zeros((p.v * images[0].mcus[1] * 8, p.h * images[0].mcus[0] * 8))
+        for y in range(out.shape[0] // 8):
+            for z in range(out.shape[1] // 8):
+                block = np.zeros(64)
+                block[zigzag] = back[starts[0] + p.base + y * p.stride + z] * q
+                out[8 * y : 8 * y + 8, 8 * z : 8 * z + 8] = basis @ block.reshape(8, 8) @ basis.T
+        return np.clip(np.rint(out), -128, 127)
+    lum, cb, cr = plane(0) + 128, *(np.kron(plane(k), np.ones((2, 2))) for k in (1, 2))
+    want = np.stack([lum + 1.402 * cr, lum - 0.344136 * cb - 0.714136 * cr, lum + 1.772 * cb], -1).clip(0, 255)
+    want = want[: t.shape[0], : t.shape[1]]
+    # a rounding of the transform at a half may differ by one, and by that times 1.772 in a colour
+    assert t.shape == want.shape and np.abs(t - want).max() <= 3 and np.abs(t - want).mean() < 0.6
+
+
+def test_many_short_rows_of_languages():
+    import pyarrow as pa
+
+    rows = ["ab cd", "", "é"] * 400
+    got = np.concatenate([x for _, x, _ in langid_ecoc.vectors(pa.array(rows))])
+    one = [next(iter(langid_ecoc.vectors(pa.array([t]))))[1][0] for t in rows[:3]]
+    assert all(np.allclose(got[k], one[k % 3]) for k in range(len(rows)))
+
+
+def test_decoding_by_plain_losses():
+    rng = np.random.default_rng(1)
+    code = langid_ecoc.codewords(4)
+    assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= 4
+    model = langid_ecoc.Model(list("abcd"), code, rng.normal(size=(langid_ecoc.BUCKETS + 1, code.shape[1])), rng.uniform(0.1, 0.5, code.shape[1]), np.zeros((langid_ecoc.BUCKETS, 4)), np.zeros(4))
+    x = rng.random((5, langid_ecoc.BUCKETS)) / 50
+    best, score, close = model.decode(x)
+    for k in range(5):
+        margins = [sum(a * b for a, b in zip(x[k], model.weights[:-1, j], strict=True)) + model.weights[-1, j] for j in range(code.shape[1])]
+        losses = [sum(w * np.log1p(np.exp(-m * b)) for w, m, b in zip(model.trust, margins, word, strict=True)) / sum(model.trust) for word in code]
+        assert best[k] == int(np.argmin(losses)) and 0 <= score[k] <= 1
+        assert close[k] == (sorted(losses)[1] - min(losses) < langid_ecoc.MARGIN)
