@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of items that one automaton holds: more items are taken in blocks of this size, each against all texts.
-ITEM_BYTES = 8 << 20
+from stratalake.llm.common import materialise
+
+#: Bytes of items that one automaton holds (near 100 MB of memory): more items are taken in blocks, each against all texts.
+ITEM_BYTES = 1 << 20
 
 
 def normal(text: str | None) -> str:
@@ -59,13 +61,16 @@ def myers(item: str, text: str, limit: int) -> tuple[int, int] | None:
 
 
 class Matcher:
-    """All items of one block against texts."""
+    """All items of one block against texts. Items of one text are matched once, so items is (ids, text) here."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = items
-        self.limits = [int(rate * len(t)) for _, t in items]
+        alike: dict[str, list[int]] = {}
+        for i, t in items:
+            alike.setdefault(t, []).append(i)
+        self.items = [(ids, t) for t, ids in alike.items()]
+        self.limits = [int(rate * len(t)) for _, t in self.items]
         owners: dict[str, list[tuple[int, int]]] = {}
-        for k, (_, t) in enumerate(items):
+        for k, (_, t) in enumerate(self.items):
             for at, p in pieces(t, rate):
                 owners.setdefault(p, []).append((k, at))
         self.machine = ahocorasick.Automaton()
@@ -76,7 +81,7 @@ class Matcher:
         self.any = bool(owners)
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
-        """(item index, distance, end) for each item that the text holds within its budget."""
+        """(index of the item's text, distance, end) for each that the text holds within its budget."""
         if not self.any or not text:
             return []
         windows: dict[int, list[tuple[int, int]]] = {}
@@ -84,7 +89,13 @@ class Matcher:
             for k, at in own:
                 start = end - n + 1 - at
                 limit = self.limits[k]
-                windows.setdefault(k, []).append((max(0, start - limit), start + len(self.items[k][1]) + limit))
+                a, b = max(0, start - limit), start + len(self.items[k][1]) + limit
+                held = windows.setdefault(k, [])
+                # hits come in the order of their ends, so most windows overlap the one before: a frequent piece takes no list
+                if held and a <= held[-1][1] and b >= held[-1][0]:
+                    held[-1] = (min(a, held[-1][0]), max(b, held[-1][1]))
+                else:
+                    held.append((a, b))
         out = []
         for k, spans in windows.items():
             spans.sort()
@@ -110,18 +121,25 @@ class Matcher:
 
 
 def _blocks(spark: SparkSession, items: DataFrame) -> list:
-    """The items with texts as broadcast blocks of near ITEM_BYTES each; one empty block if there are none."""
-    block, held, blocks = [], 0, []
-    for row in items.select("item_id", "text").toLocalIterator():
-        if t := normal(row["text"]):
-            block.append((row["item_id"], t))
-            held += len(t.encode())
-            if held >= ITEM_BYTES:
-                blocks.append(spark.sparkContext.broadcast(sorted(block, key=str)))
-                block, held = [], 0
-    if block or not blocks:
-        blocks.append(spark.sparkContext.broadcast(sorted(block, key=str)))
-    return blocks
+    """Reads of the items with texts in blocks of near ITEM_BYTES each, by a hash of the text; one empty block if there are none.
+
+    The items are written once to the shared folder; the driver holds one block at a time, and each is sent to the tasks.
+    """
+    rows = items.select("item_id", "text").where("length(trim(text)) > 0")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // ITEM_BYTES))
+    if n == 1:
+        return [_sent(spark, rows)]
+    written = materialise(spark, rows.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")).repartition("block"), "items")
+    return [_sent(spark, written.where(F.col("block") == k)) for k in range(n)]
+
+
+def _sent(spark: SparkSession, rows: DataFrame):
+    """A broadcast of one block's normalised items, which the driver doesn't keep."""
+    block = sorted(((r["item_id"], t) for r in rows.collect() if (t := normal(r["text"]))), key=str)
+    sent = spark.sparkContext.broadcast(block)
+    sent.__dict__.pop("_value", None)
+    return sent
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -141,8 +159,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: f
         def run(batches: Iterator[pa.RecordBatch], b=b) -> Iterator[pa.RecordBatch]:
             m = Matcher(b.value, rate)
             for batch in batches:
-                found = [(i, *hit) for i, t in enumerate(batch.column(1)) for hit in m.find(normal(t.as_py()))]
-                columns = [batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([m.items[f[1]][0] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int64())]
+                found = [(i, item, *hit[1:]) for i, t in enumerate(batch.column(1)) for hit in m.find(normal(t.as_py())) for item in m.items[hit[0]][0]]
+                columns = [batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "distance", "end_char"])
 
         part = docs.mapInArrow(run, schema)
