@@ -22,6 +22,8 @@ from stratalake.llm.bpe import encoder
 from stratalake.llm.common import shared_dir
 
 BLOCK_TOKENS = 1 << 20
+#: Bytes of documents that a row of the writer holds, and such rows to a file: a file is near 32 MB, more only by one document.
+RECORD_BYTES, RECORDS_PER_FILE = 4 << 20, 8
 #: Ids at the front of each document that spell its doc_id, least digit first, in the base of the separator.
 ID_DIGITS = 5
 
@@ -35,26 +37,35 @@ def id_digits(doc_id: int, end: int) -> list[int]:
     return out
 
 
-def write_token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, end: int, id_col: str = "doc_id", text_col: str = "text", records_per_file: int = 20_000) -> str:
+def write_token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, end: int, id_col: str = "doc_id", text_col: str = "text", records_per_file: int = RECORDS_PER_FILE, record_bytes: int = RECORD_BYTES) -> str:
     """Encode whole texts (null: empty) into flat files under the shared folder and return their folder.
 
     Each document is ID_DIGITS ids for its doc_id (null: the least long), its tokens, and the separator. A token that is
-    itself the separator (its string stands in the text) is written as the ordinary tokens of that string.
+    itself the separator (its string stands in the text) is written as the ordinary tokens of that string. Files are bounded
+    in bytes, and only a single longer document makes a longer one. A vocabulary of more than 16 bits is refused.
     """
+    if len(encoder(vocabulary).offsets) > 1 << 16 or not 0 < end < 1 << 16:
+        raise ValueError("flat files hold 16-bit token ids; this vocabulary or separator has greater ones")
+    mark = np.array([end], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         plain = functools.lru_cache(8)(lambda s: np.frombuffer(b"".join(np.array(e.piece(p.encode()), "<u4").tobytes() for p in e.pieces.findall(s)), "<u4"))
         names = {i: s for s, i in e.special.items()}
+        held, size = [], 0
         for batch in batches:
-            out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.frombuffer(e.encode(text.as_py() or ""), "<u4")
                 if (ids == end).any():
                     ids = np.concatenate([plain(names[int(i)]) if i == end else np.array([i], "<u4") for i in ids])
                 digits = id_digits(-(1 << 63) if doc_id is None else doc_id, end)
-                out.append(np.concatenate([np.array(digits, "<u2"), ids.astype("<u2")]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                held.append(np.concatenate([np.array(digits, "<u2"), ids.astype("<u2")]).tobytes())
+                size += len(held[-1])
+                if size >= record_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([mark.join(held)], pa.binary())], names=["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([mark.join(held)], pa.binary())], names=["value"])
 
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     flat = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
@@ -69,7 +80,8 @@ def scan_token_files(spark: SparkSession, path: str, end: int, block_tokens: int
 
     ordinal counts a file's documents from 0, start is the place of its first token after the prefix, n_tokens counts its
     tokens without prefix and separator, and head holds the first prefix tokens. Empty files have no documents; two
-    separators in a row are an empty document. A file with an odd last byte loses that byte. Works on any number of files.
+    separators in a row are an empty document. A file with an odd last byte loses that byte. Works on any number of files;
+    one file may have less than 2 GB, as a task takes it as a whole before it is cut (Spark refuses greater ones by an error).
     """
     files = spark.read.format("binaryFile").load(path).where("length > 1").select(F.col("path").alias("file"), "content", F.expr("CAST(length DIV 2 AS BIGINT)").alias("n"))
     block = F.explode(F.sequence(F.lit(0), F.expr(f"CAST((n - 1) DIV {block_tokens} AS INT)"))).alias("block")
