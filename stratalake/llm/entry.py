@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalake.llm.common import materialise
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalake.llm.media_jpeg import media_column, media_digest
 
-    return media_digest(media_column(_table(spark, sf_dir, "documents")))
+    # the files are stored, and what follows is read from them
+    return media_digest(materialise(spark, media_column(_table(spark, sf_dir, "documents")), "media"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
