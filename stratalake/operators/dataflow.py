@@ -11,15 +11,28 @@ from stratalake.operators.graph import cut, reachable
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 1000) -> DataFrame:
-    """The least set of rows that holds start and step of itself; step must be a union of joins of its argument (monotone)."""
-    seen = cut(start.distinct())
-    frontier = seen
+    """The least set of rows that holds start and step of itself; step must be a union of joins of its argument (monotone).
+
+    Each round writes its new rows only; after eight rounds what was written is put together.
+    """
+    parts = [cut(start.distinct())]
+    key = parts[0].columns
     for _ in range(max_rounds):
-        frontier = cut(step(frontier).select(*seen.columns).distinct().join(seen, seen.columns, "left_anti"))
+        frontier = cut(step(parts[-1]).select(*key).distinct().join(_union(parts), key, "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        if len(parts) > 8:
+            # the newest rows stay apart: the next round starts from them
+            parts = [cut(_union(parts))]
+        parts.append(frontier)
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def may_facts(edges: DataFrame, gen: DataFrame, kill: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -49,10 +62,15 @@ def reaching_definitions(edges: DataFrame, defs: DataFrame, strong: DataFrame |
     whose definitions kill (all, if it is None); weak ones only add.
     """
     d = defs.select("node", "variable").distinct()
-    facts = d.select("node", F.struct("variable", F.col("node").alias("definition")).alias("fact"))
+    e = edges.select("src", "dst").distinct()
+    # by variable, not by pairs of definitions: a node's own definition is there from the start
     killers = d if strong is None else d.join(strong.select("node").distinct(), "node", "left_semi")
-    kill = killers.join(d.select("variable", F.col("node").alias("other")), "variable").where("node <> other").select("node", F.struct("variable", F.col("other").alias("definition")).alias("fact"))
-    return may_facts(edges, facts, kill).select("node", "fact.variable", "fact.definition")
+
+    def step(new: DataFrame) -> DataFrame:
+        moved = new.join(e, new["node"] == e["src"]).select(F.col("dst").alias("node"), "variable", "definition")
+        return moved.join(killers, ["node", "variable"], "left_anti")
+
+    return fixpoint(d.select("node", "variable", F.col("node").alias("definition")), step)
 
 
 def live_variables(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:

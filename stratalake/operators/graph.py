@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Generator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +131,21 @@ def rendered(path, kinds):
     return F.concat(F.element_at(path, 1).cast("string"), F.array_join(F.zip_with(kinds, F.slice(path, 2, 1 << 20), lambda k, n: F.concat(k, n.cast("string"))), ""))
 
 
+def _run(visit: Callable[..., Generator], *start):
+    """The result of a recursive visit, written as a generator that yields the arguments of its inner visits, on a stack of one's own."""
+    stack, value = [visit(*start)], None
+    while stack:
+        try:
+            inner = stack[-1].send(value)
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+        else:
+            stack.append(visit(*inner))
+            value = None
+    return value
+
+
 def weak_topological_order(edges: dict[int, list[int]], start: int) -> list:
     """Nested components of one graph: numbers and lists whose first entry is their head. Recursive strategy over depth-first
     numbers; later successors are visited first, as what is visited first ends up last."""
@@ -137,14 +153,14 @@ def weak_topological_order(edges: dict[int, list[int]], start: int) -> list:
     stack: list[int] = []
     clock = 0
 
-    def visit(v: int, out: list) -> float:
+    def visit(v: int, out: list) -> Generator:
         nonlocal clock
         stack.append(v)
         clock += 1
         head = number[v] = clock
         loop = False
         for w in reversed(edges.get(v, [])):
-            low = visit(w, out) if w not in number else number[w]
+            low = (yield w, out) if w not in number else number[w]
             if low <= head:
                 head, loop = low, True
         if head == number[v]:
@@ -157,19 +173,31 @@ def weak_topological_order(edges: dict[int, list[int]], start: int) -> list:
                 inner: list = []
                 for w in reversed(edges.get(v, [])):
                     if w not in number:
-                        visit(w, inner)
+                        yield w, inner
                 out.append([v, *inner[::-1]])
             else:
                 out.append(v)
         return head
 
     out: list = []
-    visit(start, out)
+    _run(visit, start, out)
     return out[::-1]
 
 
 def _printed(order: list) -> str:
-    return " ".join(f"({_printed(x)})" if isinstance(x, list) else str(x) for x in order)
+    parts, todo = [], [iter(order)]
+    while todo:
+        x = next(todo[-1], None)
+        if x is None:
+            todo.pop()
+            if todo:
+                parts[-1] += ")"
+        elif isinstance(x, list):
+            todo.append(iter(x[1:]))
+            parts.append(f"({x[0]}")
+        else:
+            parts.append(str(x))
+    return " ".join(parts)
 
 
 def weak_topological_orders(edges: DataFrame, start: int = 1) -> DataFrame:
@@ -186,47 +214,67 @@ def weak_topological_orders(edges: DataFrame, start: int = 1) -> DataFrame:
 
 
 def reverse_postorder(edges: dict[int, list[int]], start: int) -> list[int]:
-    seen, out = set(), []
+    seen, out = {start}, []
+    stack = [(start, iter(edges.get(start, [])))]
+    while stack:
+        v, rest = stack[-1]
+        w = next((w for w in rest if w not in seen), None)
+        if w is None:
+            stack.pop()
+            out.append(v)
+        else:
+            seen.add(w)
+            stack.append((w, iter(edges.get(w, []))))
+    return out[::-1]
 
-    def visit(v: int) -> None:
-        seen.add(v)
-        for w in edges.get(v, []):
-            if w not in seen:
-                visit(w)
-        out.append(v)
 
-    visit(start)
-    return out[::-1]
+def immediate_dominators(edges: dict[int, list[int]], root: int) -> dict[int, int]:
+    """The nearest dominator of each node that the root reaches, the root's being itself; by intersecting upward in reverse postorder."""
+    order = reverse_postorder(edges, root)
+    place = {n: k for k, n in enumerate(order)}
+    before: dict[int, list[int]] = {}
+    for n in order:
+        for m in edges.get(n, []):
+            before.setdefault(m, []).append(n)
+    near, changed = {root: root}, True
+    while changed:
+        changed = False
+        for n in order[1:]:
+            new = None
+            for p in before[n]:
+                if p in near:
+                    a, b = p, p if new is None else new
+                    while a != b:
+                        if place[a] > place[b]:
+                            a = near[a]
+                        else:
+                            b = near[b]
+                    new = a
+            if near.get(n) != new:
+                near[n], changed = new, True
+    return near
 
 
 def dominators(edges: DataFrame, root: int) -> DataFrame:
-    """(node, dominator), each node's own included, for nodes reachable from the root; graphs of one component in one group.
-
-    d dominates n if removing d cuts n off: a node is lost from the nodes that d's removal leaves reachable. Worked out as the
-    usual fixpoint in a group, since graphs of one procedure are small.
-    """
+    """(graph, node, dominator, immediate), each node's own included, for nodes reachable from the root; a graph (one procedure's) is
+    worked on in one group, by the chains of nearest dominators. immediate marks the nearest one other than the node."""
     import pandas as pd
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         succ: dict[int, set[int]] = {}
-        pred: dict[int, set[int]] = {}
         for s, d in pdf[["src", "dst"]].itertuples(index=False):
             succ.setdefault(int(s), set()).add(int(d))
-            pred.setdefault(int(d), set()).add(int(s))
-        order = reverse_postorder({k: sorted(v) for k, v in succ.items()}, root)
-        known = set(order)
-        dom = {n: set(order) for n in order} | {root: {root}}
-        changed = True
-        while changed:
-            changed = False
-            for n in order[1:]:
-                new = set.intersection(*(dom[p] for p in pred[n] if p in known)) | {n}
-                if new != dom[n]:
-                    dom[n], changed = new, True
-        rows = [(pdf["graph"].iloc[0], n, d) for n in order for d in sorted(dom[n])]
-        return pd.DataFrame(rows, columns=["graph", "node", "dominator"])
-
-    return edges.groupBy("graph").applyInPandas(one, "graph string, node long, dominator long")
+        near = immediate_dominators({k: sorted(v) for k, v in succ.items()}, root)
+        rows = []
+        for n in near:
+            d = n
+            rows.append((pdf["graph"].iloc[0], n, n, False))
+            while near[d] != d:
+                d = near[d]
+                rows.append((pdf["graph"].iloc[0], n, d, d == near[n]))
+        return pd.DataFrame(rows, columns=["graph", "node", "dominator", "immediate"])
+
+    return edges.groupBy("graph").applyInPandas(one, "graph string, node long, dominator long, immediate boolean")
 
 
 def relieve_rich_nodes(edges: DataFrame, similar: DataFrame, limit: int = 6) -> DataFrame:
@@ -247,3 +295,8 @@ def relieve_rich_nodes(edges: DataFrame, similar: DataFrame, limit: int = 6) ->
     moved = surplus.join(room, ["dst", "r"], "left").select("src", F.when(F.col("other") != F.col("src"), F.col("other")).alias("other"), "dst")
     kept = ranked.join(surplus.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst")
     return kept.unionByName(moved.select("src", F.coalesce("other", "dst").alias("dst")))
+
+
+def small_components(edges: DataFrame, most: int) -> DataFrame:
+    """(component, n): the connected components of at most so many nodes, and their number of nodes."""
+    return components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalake.operators import automata, bayes, dataflow, graph, taint
-from stratalake.plans.views import CALLS, DAG, SPARSE, TREE, calls, dag, sparse, tree
+from stratalake.plans.views import CALLS, DAG, FOREST, PROCEDURES, SPARSE, TREE, calls, dag, forest, procedures, sparse, tree
 from stratalake.registry import query
 
 
@@ -28,9 +28,9 @@ def reachable_from(spark, t):
     return graph.reachable(sparse(t), t("part").where("p_partkey IN (1, 50)").select(F.col("p_partkey").alias("node"))).select("node")
 
 
-@query("invalidated", ops="G5", sql=_reach(f"(SELECT dst AS src, src AS dst FROM {SPARSE})", "SELECT doc_id AS node FROM labels WHERE quality = 0 AND doc_id < 60") + " SELECT node FROM r")
+@query("invalidated", ops="G5", sql=_reach(f"(SELECT dst AS src, src AS dst FROM {SPARSE})", "SELECT doc_id AS node FROM labels WHERE quality = 0") + " SELECT node FROM r")
 def invalidated(spark, t):
-    changed = t("labels").where("quality = 0 AND doc_id < 60").select(F.col("doc_id").alias("node"))
+    changed = t("labels").where("quality = 0").select(F.col("doc_id").alias("node"))
     return graph.reachable(graph.reversed_edges(sparse(t)), changed).select("node")
 
 
@@ -44,9 +44,9 @@ def components(spark, t):
     return graph.components(sparse(t))
 
 
-@query("small_components", ops="G13", sql="WITH g AS (SELECT o_custkey % 97 AS c, count(*) AS n FROM orders GROUP BY 1) SELECT c FROM g WHERE n < 17")
+@query("small_components", ops="G13", sql=f"WITH RECURSIVE e AS (SELECT src, dst FROM {FOREST} UNION SELECT dst, src FROM {FOREST}), r(node, component) AS (SELECT src, src FROM e UNION SELECT e.dst, r.component FROM r JOIN e ON e.src = r.node WHERE r.component <= e.dst), c AS (SELECT node, min(component) AS component FROM r GROUP BY node) SELECT component, count(*) AS n FROM c GROUP BY component HAVING count(*) <= 4")
 def small_components(spark, t):
-    return t("orders").groupBy((F.col("o_custkey") % 97).alias("c")).agg(F.count(F.lit(1)).alias("n")).where("n < 17").select("c")
+    return graph.small_components(forest(t), 4)
 
 
 @query("acyclic_edges", ops="G12", sql=f"SELECT src, dst FROM {SPARSE} WHERE src < dst AND dst IN (SELECT p_partkey FROM part)")
@@ -58,17 +58,17 @@ def acyclic_edges(spark, t):
 @query(
     "simple_paths",
     ops="G15 G16 W6",
-    sql=f"WITH RECURSIVE e AS (SELECT src, dst, '--call-->' AS step FROM {DAG} WHERE src < 40 UNION SELECT dst, src, '<--call--' FROM {DAG} WHERE src < 40), r(here, path, txt) AS (SELECT CAST(9 AS BIGINT), [CAST(9 AS BIGINT)], '9' UNION ALL SELECT e.dst, list_append(path, e.dst), concat(txt, step, e.dst) FROM r JOIN e ON e.src = r.here WHERE NOT list_contains(path, e.dst) AND len(path) <= 4) SELECT txt FROM r WHERE here = 2 AND len(path) > 1",
+    sql=f"WITH RECURSIVE e AS (SELECT src, dst, '--call-->' AS step FROM {DAG} UNION SELECT dst, src, '<--call--' FROM {DAG}), r(here, path, txt) AS (SELECT CAST(9 AS BIGINT), [CAST(9 AS BIGINT)], '9' UNION ALL SELECT e.dst, list_append(path, e.dst), concat(txt, step, e.dst) FROM r JOIN e ON e.src = r.here WHERE NOT list_contains(path, e.dst) AND len(path) <= 4) SELECT txt FROM r WHERE here = 2 AND len(path) > 1",
 )
 def simple_paths(spark, t):
     one = lambda k: spark.range(k, k + 1).select(F.col("id").alias("node"))
-    found = graph.simple_paths(dag(t).where("src < 40").withColumn("kind", F.lit("call")), one(9), one(2), 4)
+    found = graph.simple_paths(dag(t).withColumn("kind", F.lit("call")), one(9), one(2), 4)
     return found.select(graph.rendered(F.col("path"), F.col("kinds")).alias("txt"))
 
 
-@query("hierarchy_closure", ops="G19", sql=f"WITH RECURSIVE r(node, ancestor) AS (SELECT child, parent FROM {TREE} UNION SELECT r.node, t.parent FROM r JOIN {TREE} t ON t.child = r.ancestor) SELECT node, ancestor FROM r WHERE node < 200")
+@query("hierarchy_closure", ops="G19", sql=f"WITH RECURSIVE r(node, ancestor) AS (SELECT child, parent FROM {TREE} UNION SELECT r.node, t.parent FROM r JOIN {TREE} t ON t.child = r.ancestor) SELECT node, ancestor FROM r")
 def hierarchy_closure(spark, t):
-    up = tree(t).where("child < 200").select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+    up = tree(t).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
     walked = graph.reachable(up, up.select(F.col("src").alias("start"), F.col("src").alias("node")).distinct(), carry=("start",))
     return walked.where("depth > 0").select(F.col("start").alias("node"), F.col("node").alias("ancestor"))
 
@@ -79,27 +79,31 @@ def nodes_in_block(spark, t):
     return graph.reachable(dag(t), spark.range(190, 191).select(F.col("id").alias("node")), stop=stop).select("node")
 
 
-@query("annotation_reach", ops="G20", sql=f"WITH RECURSIVE e AS (SELECT * FROM {DAG}), r(s, w, node, d) AS (SELECT src, dst, dst, 1 FROM e WHERE src >= 180 UNION SELECT s, w, e.dst, d + 1 FROM r JOIN e ON e.src = r.node), m AS (SELECT s, node, min(d) AS d FROM r WHERE node IN (3, 5, 7, 11) GROUP BY ALL) SELECT r.s AS source, r.node AS sink, CAST(r.d AS INTEGER) AS depth, min(r.w) AS witness FROM r JOIN m ON r.s = m.s AND r.node = m.node AND r.d = m.d GROUP BY ALL")
+@query("annotation_reach", ops="G20", sql=f"WITH RECURSIVE e AS (SELECT * FROM {DAG}), r(s, w, node, d) AS (SELECT src, dst, dst, 1 FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO') UNION SELECT s, w, e.dst, d + 1 FROM r JOIN e ON e.src = r.node), m AS (SELECT s, node, min(d) AS d FROM r WHERE node IN (SELECT p_partkey FROM part WHERE p_type = 'SMALL') GROUP BY ALL) SELECT r.s AS source, r.node AS sink, CAST(r.d AS INTEGER) AS depth, min(r.w) AS witness FROM r JOIN m ON r.s = m.s AND r.node = m.node AND r.d = m.d GROUP BY ALL")
 def annotation_reach(spark, t):
-    e = dag(t)
-    return taint.annotation_reach(e, e.where("src >= 180").select(F.col("src").alias("node")).distinct(), spark.range(12).where("id IN (3, 5, 7, 11)").select(F.col("id").alias("node")))
+    marked = lambda kind: t("part").where(F.col("p_type") == kind).select(F.col("p_partkey").alias("node"))
+    return taint.annotation_reach(dag(t), marked("PROMO"), marked("SMALL"))
 
 
 @query("weak_topological_order", ops="G8")
 def weak_topological_order(spark, t):
-    e = t("part").where("p_partkey > 0")
-    k = F.col("p_partkey")
-    edges = e.select(F.lit("g").alias("graph"), F.floor(k / 2).alias("src"), k.alias("dst"), k.alias("seq")).where("src > 0").unionByName(e.where("p_partkey % 5 = 0").select(F.lit("g").alias("graph"), k.alias("src"), F.floor(k / 4).alias("dst"), (k * 2 + 2).alias("seq")).where("dst > 0"))
+    p = procedures(t).where("node > 1")
+    n = F.col("node")
+    edges = p.select("graph", F.floor(n / 2).alias("src"), n.alias("dst"), n.alias("seq")).unionByName(p.where("node % 5 = 0").select("graph", n.alias("src"), F.floor(n / 4).alias("dst"), (n * 2 + 2).alias("seq")))
     return graph.weak_topological_orders(edges, 1)
 
 
-@query("dominators", ops="G9", sql="WITH n AS (SELECT p_partkey AS node FROM part WHERE p_partkey BETWEEN 1 AND 80), a AS (SELECT node, d FROM n, (SELECT unnest(range(0, 8)) AS d) WHERE node >> CAST(d AS BIGINT) > 0) SELECT 'g' AS graph, node, CAST(node >> CAST(d AS BIGINT) AS BIGINT) AS dominator FROM a")
+@query("dominators", ops="G9", sql=f"WITH n AS (SELECT * FROM {PROCEDURES}), a AS (SELECT graph, node, d FROM n, (SELECT unnest(range(0, 8)) AS d) WHERE node >> CAST(d AS BIGINT) > 0 AND graph IN (SELECT graph FROM n WHERE node = 2)) SELECT graph, node, CAST(node >> CAST(d AS BIGINT) AS BIGINT) AS dominator, d = 1 AS immediate FROM a")
 def dominators(spark, t):
-    e = t("part").where("p_partkey BETWEEN 2 AND 80").select(F.lit("g").alias("graph"), F.floor(F.col("p_partkey") / 2).alias("src"), F.col("p_partkey").alias("dst"))
+    e = procedures(t).where("node > 1").select("graph", F.floor(F.col("node") / 2).alias("src"), F.col("node").alias("dst"))
     return graph.dominators(e, 1)
 
 
-@query("rich_nodes", ops="G11")
+@query(
+    "rich_nodes",
+    ops="G11",
+    sql="WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem), d AS (SELECT dst AS node, count(*) AS degree FROM e GROUP BY dst), s AS (SELECT s_suppkey + 1000000 AS node, s_nationkey FROM supplier), m AS (SELECT a.node, b.node AS other FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND a.node <> b.node), ranked AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) AS r FROM e), surplus AS (SELECT src, dst, r - 5 AS r FROM ranked JOIN d ON d.node = dst WHERE degree >= 6 AND r >= 6), room AS (SELECT m.node AS dst, other, row_number() OVER (PARTITION BY m.node ORDER BY coalesce(degree, 0), other) AS r FROM m LEFT JOIN d ON d.node = other WHERE coalesce(degree, 0) < 5) SELECT src, dst FROM ranked WHERE (src, dst) NOT IN (SELECT src, dst FROM surplus) UNION ALL SELECT s.src, coalesce(nullif(room.other, s.src), s.dst) FROM surplus s LEFT JOIN room ON room.dst = s.dst AND room.r = s.r",
+)
 def rich_nodes(spark, t):
     edges = t("lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct()
     s = t("supplier").select((F.col("s_suppkey") + 1_000_000).alias("node"), "s_nationkey")
@@ -109,16 +113,19 @@ def rich_nodes(spark, t):
 
 # ---- dataflow: a control-flow graph on part keys, one node each; variables by key
 
-DEFS = "(SELECT p_partkey AS node, p_partkey % 7 AS variable FROM part WHERE p_partkey < 200 AND p_partkey % 2 = 0)"
-USES = "(SELECT p_partkey AS node, p_partkey % 5 AS variable FROM part WHERE p_partkey < 200 AND p_partkey % 3 = 0)"
+DEFS = "(SELECT p_partkey AS node, p_partkey % 7 AS variable FROM part WHERE p_type IN ('ECONOMY', 'LARGE', 'PROMO'))"
+USES = "(SELECT p_partkey AS node, p_partkey % 5 AS variable FROM part WHERE p_type IN ('LARGE', 'MEDIUM'))"
 
 
 def _defs(t):
-    return t("part").where("p_partkey < 200 AND p_partkey % 2 = 0").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 7).alias("variable"))
+    return t("part").where("p_type IN ('ECONOMY', 'LARGE', 'PROMO')").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 7).alias("variable"))
 
 
 def _uses(t):
-    return t("part").where("p_partkey < 200 AND p_partkey % 3 = 0").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 5).alias("variable"))
+    return t("part").where("p_type IN ('LARGE', 'MEDIUM')").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 5).alias("variable"))
+
+
+TAKEN = "(SELECT p_partkey AS node, p_partkey % 7 AS variable FROM part WHERE p_size = 8)"
 
 
 @query("reaching_definitions", ops="D1 D2 D3 E3", sql=f"WITH RECURSIVE e AS (SELECT * FROM {DAG}), d AS (SELECT * FROM {DEFS}), r(node, variable, definition) AS (SELECT node, variable, node FROM d UNION SELECT e.dst, r.variable, r.definition FROM r JOIN e ON e.src = r.node WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.node = e.dst AND d.variable = r.variable)) SELECT node, variable, definition FROM r")
@@ -131,9 +138,9 @@ def liveness(spark, t):
     return dataflow.live_variables(dag(t), _uses(t), _defs(t))
 
 
-@query("address_taken", ops="D5", sql=f"WITH RECURSIVE e AS (SELECT * FROM {DAG}), r(node, variable) AS (SELECT node, variable FROM {DEFS} WHERE node % 8 = 0 UNION SELECT e.dst, r.variable FROM r JOIN e ON e.src = r.node) SELECT node, variable FROM r")
+@query("address_taken", ops="D5", sql=f"WITH RECURSIVE e AS (SELECT * FROM {DAG}), r(node, variable) AS (SELECT node, variable FROM {TAKEN} UNION SELECT e.dst, r.variable FROM r JOIN e ON e.src = r.node) SELECT node, variable FROM r")
 def address_taken(spark, t):
-    return dataflow.address_taken(dag(t), _defs(t).where("node % 8 = 0"))
+    return dataflow.address_taken(dag(t), t("part").where("p_size = 8").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 7).alias("variable")))
 
 
 @query("pointer_resolution", ops="D6", sql="SELECT s_suppkey AS site, coalesce(m, s_nationkey) AS callee FROM supplier LEFT JOIN (SELECT c_nationkey, min(c_custkey) AS m FROM customer WHERE c_nationkey < 12 GROUP BY 1) ON c_nationkey = s_nationkey")
@@ -142,16 +149,16 @@ def pointer_resolution(spark, t):
     return dataflow.resolved_pointers(t("supplier").select(F.col("s_suppkey").alias("site"), F.col("s_nationkey").cast("long").alias("pointer")), held)
 
 
-@query("loop_invariants", ops="D7 D8", sql=f"WITH l AS (SELECT p_partkey % 40 AS loop, p_partkey AS node FROM part WHERE p_partkey < 200) SELECT DISTINCT l.loop, u.variable FROM l JOIN {USES} u ON u.node = l.node WHERE NOT EXISTS (SELECT 1 FROM l m JOIN {DEFS} d ON d.node = m.node WHERE m.loop = l.loop AND d.variable = u.variable)")
+@query("loop_invariants", ops="D8", sql=f"WITH l AS (SELECT p_partkey // 8 AS loop, p_partkey AS node FROM part) SELECT DISTINCT l.loop, u.variable FROM l JOIN {USES} u ON u.node = l.node WHERE NOT EXISTS (SELECT 1 FROM l m JOIN {DEFS} d ON d.node = m.node WHERE m.loop = l.loop AND d.variable = u.variable)")
 def loop_invariants(spark, t):
-    loops = t("part").where("p_partkey < 200").select((F.col("p_partkey") % 40).alias("loop"), F.col("p_partkey").alias("node"))
+    loops = t("part").select(F.floor(F.col("p_partkey") / 8).alias("loop"), F.col("p_partkey").alias("node"))
     return dataflow.loop_invariants(loops, _uses(t), _defs(t))
 
 
-@query("impure_procedures", ops="D9 D10", sql=_reach(f"(SELECT dst AS src, src AS dst FROM {DAG})", "SELECT p_partkey AS node FROM part WHERE p_partkey IN (20, 77, 150)") + " SELECT node AS proc FROM r")
+@query("impure_procedures", ops="D9 D10", sql=_reach(f"(SELECT dst AS src, src AS dst FROM {DAG})", "SELECT p_partkey AS node FROM part WHERE p_type = 'PROMO' AND p_size > 45") + " SELECT node AS proc FROM r")
 def impure_procedures(spark, t):
     c = dag(t).select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
-    return dataflow.impure(c, t("part").where("p_partkey IN (20, 77, 150)").select(F.col("p_partkey").alias("proc")))
+    return dataflow.impure(c, t("part").where("p_type = 'PROMO' AND p_size > 45").select(F.col("p_partkey").alias("proc")))
 
 
 @query("definition_chains", ops="D11", sql=f"WITH RECURSIVE e AS (SELECT * FROM {DAG}), r(origin, definition, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey IN (150, 181) UNION SELECT origin, e.dst, depth + 1 FROM r JOIN e ON e.src = r.definition) SELECT origin, definition, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY ALL")
@@ -160,13 +167,13 @@ def definition_chains(spark, t):
     return dataflow.definition_chains(dag(t), start).select("origin", "definition", "depth")
 
 
-SOURCES = "(SELECT p_partkey AS node, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS kind FROM part WHERE p_partkey BETWEEN 150 AND 170)"
-SINKS = "(SELECT p_partkey AS node, CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE 'B' END AS kind FROM part WHERE p_partkey < 30)"
+SOURCES = "(SELECT p_partkey AS node, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS kind FROM part WHERE p_type = 'PROMO')"
+SINKS = "(SELECT p_partkey AS node, CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE 'B' END AS kind FROM part WHERE p_type = 'SMALL')"
 
 
 def _ends(t):
     p = F.col("p_partkey")
-    return t("part").where("p_partkey BETWEEN 150 AND 170").select(p.alias("node"), F.when(p % 2 == 0, "A").otherwise("B").alias("kind")), t("part").where("p_partkey < 30").select(p.alias("node"), F.when(p % 3 == 0, "A").otherwise("B").alias("kind"))
+    return t("part").where("p_type = 'PROMO'").select(p.alias("node"), F.when(p % 2 == 0, "A").otherwise("B").alias("kind")), t("part").where("p_type = 'SMALL'").select(p.alias("node"), F.when(p % 3 == 0, "A").otherwise("B").alias("kind"))
 
 
 @query("taint_flows", ops="T1 T2 T6 T8 J18 E4", sql=f"WITH RECURSIVE e AS (SELECT * FROM {DAG}), r(source, kind, node) AS (SELECT node, kind, node FROM {SOURCES} UNION SELECT r.source, r.kind, e.dst FROM r JOIN e ON e.src = r.node) SELECT r.source, r.node AS sink, r.kind FROM r JOIN {SINKS} k ON k.node = r.node AND k.kind = r.kind")
@@ -174,13 +181,13 @@ def taint_flows(spark, t):
     return taint.flows(dag(t), *_ends(t)).select("source", "sink", "kind")
 
 
-SANITIZERS = "(SELECT p_partkey AS node, CASE WHEN p_partkey % 4 = 0 THEN 'All' ELSE 'A' END AS kind FROM part WHERE p_partkey BETWEEN 35 AND 43)"
+SANITIZERS = "(SELECT p_partkey AS node, CASE WHEN p_partkey % 4 = 0 THEN 'All' ELSE 'A' END AS kind FROM part WHERE p_type = 'STANDARD')"
 
 
 @query("taint_sanitized", ops="T3 T7", sql=f"WITH RECURSIVE e AS (SELECT * FROM {DAG}), z AS (SELECT * FROM {SANITIZERS}), r(source, kind, node) AS (SELECT node, kind, node FROM {SOURCES} UNION SELECT r.source, r.kind, e.dst FROM r JOIN e ON e.src = r.node WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.node = e.dst AND (z.kind = r.kind OR z.kind = 'All'))) SELECT r.source, r.node AS sink, r.kind FROM r JOIN {SINKS} k ON k.node = r.node AND k.kind = r.kind")
 def taint_sanitized(spark, t):
     p = F.col("p_partkey")
-    z = t("part").where("p_partkey BETWEEN 35 AND 43").select(p.alias("node"), F.when(p % 4 == 0, "All").otherwise("A").alias("kind"))
+    z = t("part").where("p_type = 'STANDARD'").select(p.alias("node"), F.when(p % 4 == 0, "All").otherwise("A").alias("kind"))
     return taint.flows(dag(t), *_ends(t), z).select("source", "sink", "kind")
 
 

@@ -45,11 +45,11 @@ SPARSE = "(SELECT p_partkey AS src, (p_partkey * 7 + 1) % 1009 AS dst FROM part
 def dag(t: Table) -> DataFrame:
     """Edges from larger to smaller part keys."""
     k = F.col("p_partkey")
-    p = t("part").where("p_partkey > 0 AND p_partkey < 200")
+    p = t("part").where("p_partkey > 0")
     return p.select(k.alias("src"), F.floor(k / 2).cast("long").alias("dst")).unionByName(p.where("p_partkey % 4 = 1 AND p_partkey > 3").select(k.alias("src"), (k - 3).alias("dst"))).distinct()
 
 
-DAG = "(SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0 AND p_partkey < 200 UNION SELECT p_partkey, p_partkey - 3 FROM part WHERE p_partkey % 4 = 1 AND p_partkey > 3 AND p_partkey < 200)"
+DAG = "(SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey - 3 FROM part WHERE p_partkey % 4 = 1 AND p_partkey > 3)"
 
 
 def tree(t: Table) -> DataFrame:
@@ -60,6 +60,24 @@ def tree(t: Table) -> DataFrame:
 TREE = "(SELECT (p_partkey - 1) // 3 AS parent, p_partkey AS child FROM part WHERE p_partkey > 0)"
 
 
+def procedures(t: Table) -> DataFrame:
+    """Nodes of many small graphs: 64 parts each, numbered from 1."""
+    k = F.col("p_partkey")
+    return t("part").select(F.concat(F.lit("g"), F.floor(k / 64).cast("string")).alias("graph"), (k % 64 + 1).alias("node"))
+
+
+PROCEDURES = "(SELECT concat('g', p_partkey // 64) AS graph, p_partkey % 64 + 1 AS node FROM part)"
+
+
+def forest(t: Table) -> DataFrame:
+    """The tree's edges to parts of more than half the greatest size: many small trees."""
+    big = t("part").where("p_size > 25").select(F.col("p_partkey").alias("dst"))
+    return tree(t).select(F.col("parent").alias("src"), F.col("child").alias("dst")).join(big, "dst").select("src", "dst")
+
+
+FOREST = "(SELECT parent AS src, child AS dst FROM (SELECT (p_partkey - 1) // 3 AS parent, p_partkey AS child FROM part WHERE p_partkey > 0 AND p_size > 25))"
+
+
 def reports(t: Table) -> tuple[DataFrame, DataFrame]:
     """(current, previous): events after and before the month's middle as issues."""
     e = t("events").select(F.concat_ws("_", F.col("user_id"), F.col("event_type"), F.floor(F.col("value") / 5).cast("string")).alias("hash"), F.col("event_type").alias("bug_type"), F.concat(F.lit("src/f"), F.col("user_id").cast("string"), F.lit(".java")).alias("file"), F.col("event_id").alias("line"), "ts")

@@ -88,14 +88,37 @@ def taint_specs(spark: SparkSession, path: str) -> DataFrame:
     return s.select("procedure", F.explode(kinds).alias("kind"), F.coalesce("index", F.lit("-1")).alias("index"))
 
 
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects of files that hold one a line."""
+    return spark.read.schema(schema).json(path)
+
+
 def json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects of files that hold one object or one array of them, over any number of lines; a file is read by one task."""
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def method_matchers(spark: SparkSession, path: str) -> DataFrame:
+    """(matcher, class_prefix, class_regex, method, super) of an array of matchers; a field that isn't given matches everything."""
+    return spark.read.schema(f"matcher string, {MATCHER}").json(path, multiLine=True)
+
+
+def matching_methods(methods: DataFrame, matchers: DataFrame) -> DataFrame:
+    """(matcher, class, method): methods (class, method) that a matcher names: the class begins with its prefix and has its
+    pattern, and the method's name is its own. Matchers are a specification of bounded size, so they are sent to the methods."""
+    m = F.broadcast(matchers.select("matcher", "class_prefix", "class_regex", F.col("method").alias("name")))
+    fits = (F.col("class_prefix").isNull() | F.col("class").startswith(F.col("class_prefix"))) & (F.col("class_regex").isNull() | F.expr("class RLIKE class_regex")) & (F.col("name").isNull() | (F.col("name") == F.col("method")))
+    return methods.join(m, fits).select("matcher", "class", "method")
+
+
 def files(spark: SparkSession, folder: str, glob: str = "*", without: str | None = None) -> DataFrame:
-    """(path, length) of all files under a folder that match the glob, without those whose path holds a string."""
+    """(path, length) of all files under a folder that match the glob, without those whose path below the folder holds a string."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder).select("path", "length")
-    return found if without is None else found.where(~F.col("path").contains(without))
+    if without is None:
+        return found
+    # what stands behind the folder, whatever store and slashes its name begins with
+    below = folder.split(":", 1)[-1].strip("/")
+    return found.where(~F.substring_index("path", f"{below}/", -1).contains(without))
 
 
 def issue_folder(spark: SparkSession, folder: str) -> DataFrame:

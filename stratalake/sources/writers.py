@@ -28,6 +28,19 @@ def pretty_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value"))
 
 
+def json_arrays(df: DataFrame, path: str) -> None:
+    """Indented JSON arrays of the rows' objects, a file for each partition: the form of a report, for tables of a report's size."""
+    rows = pretty_json(df).groupBy(F.spark_partition_id()).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value"))
+    rows.select("value").write.mode("overwrite").text(path)
+
+
+def numbered_batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """df with batch, so that a sink takes at most size rows at a time: the rows' place in the order, in steps of size."""
+    from stratalake.operators.windows import dense_index
+
+    return dense_index(df, order, "__at").withColumn("batch", F.floor(F.col("__at") / size)).drop("__at")
+
+
 def result_map(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -165,7 +165,7 @@ def test_upserts(spark):
 def test_dominators(spark):
     e = spark.createDataFrame([("g", 1, 2), ("g", 2, 3), ("g", 2, 4), ("g", 3, 5), ("g", 4, 5)], "graph string, src long, dst long")
     d = {}
-    for _, n, x in graph.dominators(e, 1).collect():
+    for _, n, x, _ in graph.dominators(e, 1).collect():
         d.setdefault(n, set()).add(x)
     assert d == {1: {1}, 2: {1, 2}, 3: {1, 2, 3}, 4: {1, 2, 4}, 5: {1, 2, 5}}
 

@@ -3,24 +3,38 @@
 from __future__ import annotations
 
 from stratalake import registry
+from stratalake.operators import graph
 
 QUERIES = registry.all_queries()
 
 
 def test_weak_topological_order_of_all_parts(spark, tmp_path):
     spark.range(0, 1300).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
-    (row,) = QUERIES["weak_topological_order"].run(spark, str(tmp_path)).collect()
-    at, heads, open_heads = {}, {}, []
-    for token in row.wto.split():
-        node = int(token.strip("()"))
-        open_heads += [node] * token.count("(")
-        at[node], heads[node] = len(at), set(open_heads)
-        for _ in range(token.count(")")):
-            open_heads.pop()
-    edges = [(k // 2, k) for k in range(2, 1300)] + [(k, k // 4) for k in range(5, 1300, 5)]
-    assert sorted(at) == list(range(1, 1300))
-    # an edge leads on, or back to the head of a component that its source lies in
-    assert all(at[u] < at[v] or v in heads[u] for u, v in edges)
+    rows = QUERIES["weak_topological_order"].run(spark, str(tmp_path)).collect()
+    assert sorted(r.graph for r in rows) == sorted(f"g{k}" for k in range(21))
+    for row in rows:
+        at, heads, open_heads = {}, {}, []
+        for token in row.wto.split():
+            node = int(token.strip("()"))
+            open_heads += [node] * token.count("(")
+            at[node], heads[node] = len(at), set(open_heads)
+            for _ in range(token.count(")")):
+                open_heads.pop()
+        n = min(64, 1300 - 64 * int(row.graph[1:]))
+        edges = [(k // 2, k) for k in range(2, n + 1)] + [(k, k // 4) for k in range(5, n + 1, 5)]
+        assert sorted(at) == list(range(1, n + 1))
+        # an edge leads on, or back to the head of a component that its source lies in
+        assert all(at[u] < at[v] or v in heads[u] for u, v in edges)
+
+
+def test_deep_graphs():
+    """Chains of any length: no visit recurses."""
+    chain = {k: [k + 1] for k in range(50_000)}
+    assert graph.reverse_postorder(chain, 0) == list(range(50_001))
+    assert graph.weak_topological_order(chain, 0) == list(range(50_001))
+    nested = {k: [k + 1, 0] for k in range(300)}
+    assert graph._printed(graph.weak_topological_order(nested, 0)).count("(") == 1
+    assert graph.immediate_dominators({1: [2, 3], 2: [4], 3: [4], 4: [5, 2]}, 1) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 4}
 
 
 def test_rich_nodes_of_all_suppliers(spark, tmp_path):
