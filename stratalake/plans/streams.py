@@ -74,12 +74,12 @@ def _replayed(spark: SparkSession, t, plan, mode: str) -> DataFrame:
     return rows.drop("batch")
 
 
-@query("stream_tumbling", ops="R1 R2 R3 R4 R7 K11", sql=HOUR)
+@query("stream_tumbling", ops="R3", sql=HOUR)
 def stream_tumbling(spark, t):
     return _replayed(spark, t, lambda s: engine.tumbling(s, "ts", "1 hour"), "complete").select(_stamp("start").alias("start"), "n")
 
 
-@query("stream_filter", ops="R3 R10 R12", sql="SELECT event_id, event_type FROM events WHERE event_type = 'purchase' AND value > 10")
+@query("stream_filter", ops="R3", sql="SELECT event_id, event_type FROM events WHERE event_type = 'purchase' AND value > 10")
 def stream_filter(spark, t):
     return _replayed(spark, t, lambda s: s.where("event_type = 'purchase' AND value > 10").select("event_id", "event_type"), "append")
 

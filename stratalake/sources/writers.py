@@ -31,7 +31,8 @@ def pretty_json(df: DataFrame) -> DataFrame:
 def json_arrays(df: DataFrame, path: str) -> None:
     """Indented JSON arrays of the rows' objects, a file for each partition: the form of a report, for tables of a report's size."""
     rows = pretty_json(df).groupBy(F.spark_partition_id()).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value"))
-    rows.select("value").write.mode("overwrite").text(path)
+    # an array each file, as a reader takes one value of it
+    rows.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def numbered_batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
