@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import spans, text_buffer
+from stratalake.llm.common import spans, text_buffer, tidy
 
 #: Fixed value: the pre-token pattern of the vocabulary, with white space as Unicode's White_Space property.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -233,6 +233,7 @@ def bpe_digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     null; other columns are ignored, whatever their names; an empty table gives an empty one.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, sha = encoder(vocabulary), hashlib.sha256
         for batch in batches:
@@ -253,6 +254,7 @@ def bpe_columns(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Dat
     Columns of these names that docs has already are replaced.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         for whole in batches:

@@ -5,9 +5,12 @@ Nothing here keeps state between calls; the numpy parts work on one Arrow batch
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +66,26 @@ def join_counted(rows: DataFrame, names: DataFrame, on: list[str], spread: list[
     return out.select(*rows.columns, *(F.col("__value")[v].alias(v) for v in values))
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between stages, and an idle one should hold nothing."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that releases memory when its task ends."""
+
+    @functools.wraps(run)
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return done
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

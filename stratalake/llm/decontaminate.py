@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import materialise
+from stratalake.llm.common import materialise, tidy
 
 #: Bytes of items that one automaton holds (near 100 MB of memory): more items are taken in blocks, each against all texts.
 ITEM_BYTES = 1 << 20
@@ -156,6 +156,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: f
     out = None
     for b in blocks:
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], b=b) -> Iterator[pa.RecordBatch]:
             m = Matcher(b.value, rate)
             for batch in batches:
@@ -174,6 +175,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, ra
     schema = docs.schema
     for block in _blocks(spark, items):
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             m = Matcher(block.value, rate)
             for batch in batches:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import materialise
+from stratalake.llm.common import materialise, tidy
 
 TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 #: A tag's rest up to its end or to a quote that nothing closes.
@@ -308,6 +308,7 @@ def extract_text(spark: SparkSession, pages: DataFrame, many_pages: int = MANY_P
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
 
+    @tidy
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, hashes = [], []
@@ -322,6 +323,7 @@ def extract_text(spark: SparkSession, pages: DataFrame, many_pages: int = MANY_P
     # a share of a host's pages can have only so many subtrees: this list stays as small as a few pages
     templates = counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
 
+    @tidy
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, many = [], []

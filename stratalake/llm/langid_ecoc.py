@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import spans, text_buffer
+from stratalake.llm.common import spans, text_buffer, tidy
 
 #: Hashed features; a text's vector has this length.
 BUCKETS = 1 << 13
@@ -143,6 +143,7 @@ class Model:
 def _sparse(rows: DataFrame) -> DataFrame:
     """(lang, h, at, share): the buckets that each whole text fills, as 16-bit numbers, and their values as 32-bit floats."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, x, _ in vectors(batch.column(1)):
@@ -234,6 +235,7 @@ def classify(spark: SparkSession, docs: DataFrame, model: Model, text_col: str =
     shared = spark.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import spans, text_buffer
+from stratalake.llm.common import spans, text_buffer, tidy
 
 #: Blocks (MCUs in interleaved scans) a restart interval of the encoder.
 INTERVAL = 4
@@ -745,6 +745,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     One row per input row; a null id stays null; other columns are ignored, whatever their names.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
@@ -790,6 +791,7 @@ def tensor_column(media: DataFrame, media_col: str = "media") -> DataFrame:
         except (ValueError, IndexError, KeyError, struct.error) as e:
             return None, None, None, str(e) or type(e).__name__
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, files in _batches(batch.column(at)):
@@ -820,6 +822,7 @@ def media_digest(media: DataFrame) -> DataFrame:
     media_sha256 from the stored file, feature from the RGB tensor. An empty table gives an empty one.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, files in _batches(batch.column(2)):

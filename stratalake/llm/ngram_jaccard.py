@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import WHITE_SPACE, hash_words, hot_rows, join_counted, materialise, mix, shingle_hashes, spans, text_buffer, word_mask
+from stratalake.llm.common import WHITE_SPACE, hash_words, hot_rows, join_counted, materialise, mix, release, shingle_hashes, spans, text_buffer, tidy, word_mask
 from stratalake.llm.components import connected_components
 
-CHUNK = 1 << 19
+#: Bytes of texts, or of prefixes, that are worked on at a time.
+CHUNK = 1 << 18
 #: The table of levels has so many bits of slots, a byte each, whatever the corpus.
 SLOT_BITS = 24
 #: The same for the filter of texts whose whole sets are needed, a bit each.
@@ -64,6 +65,7 @@ def _levels(spark: SparkSession, docs: DataFrame, size: int, part_bits: int = PA
     """A level (0: one text has it, else log2 of the number of texts) for each slot, the top SLOT_BITS bits of a hash."""
     n_parts = 1 << part_bits
 
+    @tidy
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[np.ndarray]) -> pa.RecordBatch:
             keys, counts = np.unique((np.concatenate(held) >> np.uint64(32)).astype(np.uint32), return_counts=True)
@@ -82,6 +84,7 @@ def _levels(spark: SparkSession, docs: DataFrame, size: int, part_bits: int = PA
         if held:
             yield flush(held)
 
+    @tidy
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come part by part; what is held of one is merged as it comes, so it has no more than a part's shingles twice
         part, held, n = -1, [], 0
@@ -222,6 +225,8 @@ def _verify(percent: int):
                 parent[max(x, y)] = min(x, y)
                 tree.append((int(a[i]), int(b[j])))
         u, v = [x for x, _ in tree], [y for _, y in tree]
+        if both.size > 1 << 16:
+            release()
         # rows with v null carry the number of links that this pair of blocks found for u
         ends = [(int(x), int(d)) for x, d in zip(a, da, strict=True) if d] + ([] if same else [(int(x), int(d)) for x, d in zip(b, db, strict=True) if d])
         return pd.DataFrame({"u": pd.Series(u + [x for x, _ in ends], dtype="Int64"), "v": pd.Series(v + [None] * len(ends), dtype="Int64"), "degree": pd.Series([0] * len(u) + [d for _, d in ends], dtype="Int64")})
@@ -246,6 +251,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
         level = levels.value[s >> np.uint64(64 - SLOT_BITS)]
         return s[np.argsort(level, kind="stable")] if level.any() else s
 
+    @tidy
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, sets in _sets(batch.column(1), size):
@@ -263,6 +269,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     groups = classes.groupBy("n", "prefix").agg(F.min("class_no").alias("group_no"))
     classes = materialise(spark, classes.join(groups, ["n", "prefix"]), "classes")
 
+    @tidy
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
@@ -323,6 +330,7 @@ def _near(percent: int):
     neighbours in order of size: it joins all that fit by size, and is linear.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
         for batch in batches:
@@ -360,6 +368,7 @@ def _whole_sets(spark: SparkSession, docs: DataFrame, members: DataFrame, size:
     wanted[table.column("word").to_numpy()] = table.column("bits").to_numpy()
     flags = spark.sparkContext.broadcast(wanted)
 
+    @tidy
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(2).to_numpy()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import WHITE_SPACE, hash_words, materialise, spans, text_buffer, word_mask
+from stratalake.llm.common import WHITE_SPACE, hash_words, materialise, spans, text_buffer, tidy, word_mask
 
 SIGNS = b"!|#$%&*.,;:?-_()[]{}<>/@='\"+\\"
 FEATURES = 192
@@ -72,6 +72,7 @@ def statistics(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def stats_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, s in statistics(batch.column(1)):
@@ -178,6 +179,7 @@ def scored(spark: SparkSession, stats: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
     order = stats.select(*rest, *STATS)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = np.stack([batch.column(len(rest) + k).to_numpy() for k in range(N_STATS)], 1) if batch.num_rows else np.zeros((0, N_STATS))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalake.llm.bpe import encoder
-from stratalake.llm.common import shared_dir
+from stratalake.llm.common import shared_dir, tidy
 
 BLOCK_TOKENS = 1 << 20
 #: Bytes of documents that a row of the writer holds, and such rows to a file: a file is near 32 MB, more only by one document.
@@ -48,6 +48,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, end
         raise ValueError("flat files hold 16-bit token ids; this vocabulary or separator has greater ones")
     mark = np.array([end], "<u2").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         plain = functools.lru_cache(8)(lambda s: np.frombuffer(b"".join(np.array(e.piece(p.encode()), "<u4").tobytes() for p in e.pieces.findall(s)), "<u4"))
@@ -88,6 +89,7 @@ def scan_token_files(spark: SparkSession, path: str, end: int, block_tokens: int
     # a block carries the first prefix tokens of the next one, for heads that run across the boundary
     cut = files.select("file", "content", "n", block).select("file", "n", "block", F.substring("content", F.col("block") * (2 * block_tokens) + 1, F.lit(2 * (block_tokens + prefix))).alias("data"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, last, docs, heads = [], [], [], []
