@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalake.operators.graph import cut, reachable
@@ -50,6 +50,41 @@ def may_facts(edges: DataFrame, gen: DataFrame, kill: DataFrame, max_rounds: int
     return fixpoint(gen.select("node", "fact"), step, max_rounds)
 
 
+def may_facts_throwing(edges: DataFrame, throws: DataFrame, gen: DataFrame, kill: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(node, fact, place) as in may_facts, at entries (in) and exits (out), where a node may also be left by an exception.
+
+    Along an edge of throws (src, dst) goes what holds at the source's entry: a node that throws has neither made nor killed facts.
+    """
+    e, x = cut(edges.select("src", "dst").distinct()), cut(throws.select("src", "dst").distinct())
+    dead, made = cut(kill.select("node", "fact").distinct()), gen.select("node", "fact").distinct()
+
+    def along(facts: DataFrame, ways: DataFrame) -> DataFrame:
+        return facts.join(ways, facts["node"] == ways["src"]).select(F.col("dst").alias("node"), "fact")
+
+    def through(facts: DataFrame) -> DataFrame:
+        return facts.join(dead, ["node", "fact"], "left_anti")
+
+    # entries alone are iterated on; exits follow from them
+    entries = fixpoint(along(made, e), lambda new: along(through(new), e).unionByName(along(new, x)), max_rounds)
+    exits = made.unionByName(through(entries)).distinct()
+    return entries.withColumn("place", F.lit("in")).unionByName(exits.withColumn("place", F.lit("out")))
+
+
+def binding_intervals(binds: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(scope, variable, path, since, until): a binding (scope, variable, path, since) holds until the variable's next one in the scope, or
+    the scope's end (scope, ends), whichever comes first. Of bindings at one place the last by path stays; those that never hold go."""
+    own = Window.partitionBy("scope", "variable").orderBy("since", "path")
+    b = binds.select("scope", "variable", "path", "since").join(scopes.select("scope", "ends"), "scope")
+    return b.select("scope", "variable", "path", "since", F.least(F.lead("since").over(own), "ends").alias("until")).where("since < until")
+
+
+def bound_paths(accesses: DataFrame, intervals: DataFrame) -> DataFrame:
+    """accesses (scope, variable, place) with the path bound there; null where the variable is unbound or its scope has ended."""
+    i = intervals.select("scope", "variable", "path", "since", "until")
+    a = accesses.select("scope", "variable", "place")
+    return a.join(i, (a["scope"] == i["scope"]) & (a["variable"] == i["variable"]) & (a["place"] >= i["since"]) & (a["place"] < i["until"]), "left").select(a["scope"], a["variable"], "place", "path")
+
+
 def entering(edges: DataFrame, exits: DataFrame) -> DataFrame:
     """(node, fact) at a node's entry: the facts at the exits of the nodes before it."""
     return exits.join(edges.select("src", "dst").distinct(), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "fact").distinct()

@@ -77,3 +77,23 @@ def affected_lines(directives: DataFrame, key: str, text: str) -> DataFrame:
     found = c.select(key, line.alias("line"), F.coalesce(marked, F.lit(False)).alias("hit"), "c").groupBy(key).agg(F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("line")))).alias("lines"), F.bool_and(F.col("c") == "O").alias("old"))
     lines = F.when(F.col("old"), F.array(F.lit(1).cast("long"))).otherwise(F.coalesce("lines", F.array().cast("array<bigint>")))
     return directives.select(key).join(found, key, "left").select(key, F.coalesce(lines, F.array().cast("array<bigint>")).alias("lines"))
+
+
+def cost_summary(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """(kind, current, previous): how many procedures have an unbounded cost (top, a null degree), none (zero) or none that is ever
+    reached (unreachable, a negative degree)."""
+    both = current.select("degree", F.lit(1).alias("side")).unionByName(previous.select("degree", F.lit(2).alias("side")))
+    kinds = {"top": F.col("degree").isNull(), "zero": F.col("degree") == 0, "unreachable": F.col("degree") < 0}
+    counts = both.agg(*(F.count_if(is_kind & (F.col("side") == side)).alias(f"{kind}{side}") for kind, is_kind in kinds.items() for side in (1, 2)))
+    rows = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"{k}1").alias("current"), F.col(f"{k}2").alias("previous")) for k in kinds))
+    return counts.select(F.inline(rows))
+
+
+def in_scope(path, only: list[str] = (), never: list[str] = ()):
+    """Whether a path is looked at: it matches one of only, if there are any, and none of never. A null path isn't."""
+    wanted, unwanted = F.lit(not only), F.lit(False)
+    for p in only:
+        wanted = wanted | path.rlike(p)
+    for p in never:
+        unwanted = unwanted | path.rlike(p)
+    return F.coalesce(path.isNotNull() & wanted & ~unwanted, F.lit(False))

@@ -277,6 +277,40 @@ def dominators(edges: DataFrame, root: int) -> DataFrame:
     return edges.groupBy("graph").applyInPandas(one, "graph string, node long, dominator long, immediate boolean")
 
 
+#: The place outside a graph that its exits lead to.
+EXIT = "exit"
+
+
+def control_dependence(edges: DataFrame) -> DataFrame:
+    """(graph, branch, node): the node runs or not as the branch decides. Edges are (graph, src, dst); a null dst leaves the graph.
+
+    A node depends on a branch if it is on all ways from one of the branch's successors to the exit, but not on all from the branch
+    itself. Each edge's nodes are walked up the nearest postdominators. Nodes that reach no exit are left out; a graph (one
+    procedure's) is worked on in one group.
+    """
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        after: dict[object, set] = {}
+        before: dict[object, list] = {}
+        for s, d in pdf[["src", "dst"]].itertuples(index=False):
+            d = EXIT if pd.isna(d) else int(d)
+            after.setdefault(int(s), set()).add(d)
+        for s in sorted(after):
+            for d in after[s]:
+                before.setdefault(d, []).append(s)
+        near = immediate_dominators(before, EXIT)
+        found = set()
+        for branch, ways in after.items():
+            for node in ways if branch in near else ():
+                while node in near and node != near[branch]:
+                    found.add((branch, node))
+                    node = near[node]
+        return pd.DataFrame([(pdf["graph"].iloc[0], b, n) for b, n in sorted(found)], columns=["graph", "branch", "node"])
+
+    return edges.groupBy("graph").applyInPandas(one, "graph string, branch long, node long")
+
+
 def relieve_rich_nodes(edges: DataFrame, similar: DataFrame, limit: int = 6) -> DataFrame:
     """(src, dst): edges into rich nodes (in-degree of at least limit) moved to a similar node of fewer in-edges.
 

@@ -58,3 +58,8 @@ def prepared(spark: SparkSession, text: str, **args: object) -> DataFrame:
 def compensated_sum(column: str, digits: int = 12) -> Column:
     """A sum that doesn't depend on the order of rows: in decimals, so no low bits are lost on the way."""
     return F.sum(F.col(column).cast(f"decimal(38,{digits})")).cast("double")
+
+
+def multimap_add(bindings: DataFrame, more: DataFrame) -> DataFrame:
+    """A multimap (key, value) as a long table with more bindings: all are kept, equal ones too, so no key's values meet in one row."""
+    return bindings.select("key", "value").unionByName(more.select("key", "value"))

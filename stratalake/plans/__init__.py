@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "reporting", "graphs", "streams", "storage")
+MODULES = ("relational", "reporting", "graphs", "streams", "storage", "analysis")
 
 
 def load() -> None:

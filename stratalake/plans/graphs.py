@@ -34,7 +34,7 @@ def invalidated(spark, t):
     return graph.reachable(graph.reversed_edges(sparse(t)), changed).select("node")
 
 
-@query("leaf_levels", ops="G6 G7 W11", sql=f"WITH RECURSIVE e AS (SELECT DISTINCT * FROM {DAG}), r(node, level) AS (SELECT DISTINCT dst, 0 FROM e WHERE dst NOT IN (SELECT src FROM e) UNION SELECT e.src, r.level + 1 FROM r JOIN e ON e.dst = r.node) SELECT node, CAST(max(level) AS INTEGER) AS level FROM r GROUP BY node")
+@query("leaf_levels", ops="G6 G7", sql=f"WITH RECURSIVE e AS (SELECT DISTINCT * FROM {DAG}), r(node, level) AS (SELECT DISTINCT dst, 0 FROM e WHERE dst NOT IN (SELECT src FROM e) UNION SELECT e.src, r.level + 1 FROM r JOIN e ON e.dst = r.node) SELECT node, CAST(max(level) AS INTEGER) AS level FROM r GROUP BY node")
 def leaf_levels(spark, t):
     return graph.levels(dag(t))
 
@@ -128,7 +128,7 @@ def _uses(t):
 TAKEN = "(SELECT p_partkey AS node, p_partkey % 7 AS variable FROM part WHERE p_size = 8)"
 
 
-@query("reaching_definitions", ops="D1 D2 D3 E3", sql=f"WITH RECURSIVE e AS (SELECT * FROM {DAG}), d AS (SELECT * FROM {DEFS}), r(node, variable, definition) AS (SELECT node, variable, node FROM d UNION SELECT e.dst, r.variable, r.definition FROM r JOIN e ON e.src = r.node WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.node = e.dst AND d.variable = r.variable)) SELECT node, variable, definition FROM r")
+@query("reaching_definitions", ops="D1 D3 E3", sql=f"WITH RECURSIVE e AS (SELECT * FROM {DAG}), d AS (SELECT * FROM {DEFS}), r(node, variable, definition) AS (SELECT node, variable, node FROM d UNION SELECT e.dst, r.variable, r.definition FROM r JOIN e ON e.src = r.node WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.node = e.dst AND d.variable = r.variable)) SELECT node, variable, definition FROM r")
 def reaching_definitions(spark, t):
     return dataflow.reaching_definitions(dag(t), _defs(t))
 
@@ -232,7 +232,7 @@ def _ctl(t):
 LABELS = "(SELECT p_partkey AS node, p_size > 40 AS big, p_size > 8 AS some FROM part)"
 
 
-@query("ctl_ex_ax", ops="X4 X6", sql=f"WITH n AS (SELECT * FROM {LABELS}), t AS (SELECT * FROM {TREE}) SELECT node, EXISTS (SELECT 1 FROM t JOIN n c ON c.node = t.child WHERE t.parent = n.node AND c.big) AS ex, NOT EXISTS (SELECT 1 FROM t JOIN n c ON c.node = t.child WHERE t.parent = n.node AND NOT c.big) AS ax FROM n")
+@query("ctl_ex_ax", ops="X4", sql=f"WITH n AS (SELECT * FROM {LABELS}), t AS (SELECT * FROM {TREE}) SELECT node, EXISTS (SELECT 1 FROM t JOIN n c ON c.node = t.child WHERE t.parent = n.node AND c.big) AS ex, NOT EXISTS (SELECT 1 FROM t JOIN n c ON c.node = t.child WHERE t.parent = n.node AND NOT c.big) AS ax FROM n")
 def ctl_ex_ax(spark, t):
     m, n = _ctl(t)
     big = n.where("big").select("node")

@@ -360,7 +360,7 @@ def json_props(spark, t):
     return t("events").select("event_id", values.member_or(p, "$.k", F.lit("-1")).alias("k"), values.member_or(p, "$.procedure", F.lit("none")).alias("procedure"))
 
 
-@query("severity_topk", ops="O1 O2 O4 O12", sql="SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END, o_totalprice DESC, o_orderkey LIMIT 50")
+@query("severity_topk", ops="O1 O4 O12", sql="SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END, o_totalprice DESC, o_orderkey LIMIT 50")
 def severity_topk(spark, t):
     known = F.array(F.lit("1-URGENT"), F.lit("2-HIGH"), F.lit("3-MEDIUM"))
     at = F.array_position(known, F.col("o_orderpriority"))
