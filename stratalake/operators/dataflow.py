@@ -159,3 +159,49 @@ def replaced_prefix(path, old, new):
 def strong_update(aliases, old, new):
     """An alias set in which one element is replaced by another."""
     return F.array_sort(F.array_union(F.array_remove(aliases, old), F.array(new)))
+
+
+def _prefixes(path):
+    """A path's prefixes, the empty one and the path itself included."""
+    return F.transform(F.sequence(F.lit(0), F.size(path)), lambda k: F.slice(path, F.lit(1), k))
+
+
+def access_tree(rows: DataFrame, depth: int, width: int) -> DataFrame:
+    """(base, path, star, traces): the nodes of the trees that rows (base, path, trace) make, joined by base.
+
+    A node keeps the traces of the paths that end in it; inner nodes without any have an empty list. A path of more than depth fields
+    ends in a starred leaf at that depth, and a node of more than width different successors becomes a starred leaf; a starred
+    leaf takes the traces of all that lay below it. Null traces and repeated rows add nothing, rows with a null path are left out.
+    """
+    at = rows.where("path IS NOT NULL").select("base", F.slice("path", 1, depth).alias("path"), (F.size("path") > depth).alias("star"), "trace").distinct()
+    steps = at.select("base", F.posexplode(_prefixes(F.col("path"))).alias("k", "node"), "path", "star")
+    inner = F.col("k") < F.size("path")
+    # both ways to become a starred leaf: a path cut there, or too many successors
+    marks = steps.groupBy("base", "node").agg(F.countDistinct(F.when(inner, F.struct(F.element_at("path", F.least(F.col("k") + 1, F.size("path")))))).alias("n"), F.max(F.col("star") & ~inner).alias("cut")).where((F.col("n") > width) | F.col("cut"))
+    marks = marks.select(F.col("base").alias("__base"), F.col("node").alias("__node"))
+    paths = steps.select("base", "path", "k", "node").distinct()
+    # null bases make a tree of their own
+    leaf = paths.join(marks, F.col("base").eqNullSafe(F.col("__base")) & (F.col("node") == F.col("__node"))).groupBy("base", "path").agg(F.min("k").alias("__k"))
+    leaf = leaf.select(F.col("base").alias("__base"), F.col("path").alias("__path"), "__k")
+    ends = at.join(leaf, F.col("base").eqNullSafe(F.col("__base")) & (F.col("path") == F.col("__path")), "left")
+    ends = ends.select("base", F.when(F.col("__k").isNull(), F.col("path")).otherwise(F.slice("path", F.lit(1), F.col("__k"))).alias("path"), F.col("__k").isNotNull().alias("star"), "trace")
+    nodes = ends.distinct().select("base", F.explode(_prefixes(F.col("path"))).alias("node"), "path", "star", "trace")
+    own = F.size("node") == F.size("path")
+    return nodes.groupBy("base", F.col("node").alias("path")).agg(F.max(F.col("star") & own).alias("star"), F.array_sort(F.collect_set(F.when(own, F.col("trace")))).alias("traces"))
+
+
+def tree_traces(tree: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (base, path) with traces: those of the path's node or of the starred leaf above it; null where the tree has neither."""
+    found = asked.select("base", "path").distinct().select(F.col("base").alias("__base"), F.col("path").alias("__asked"), F.explode(_prefixes(F.col("path"))).alias("__node"))
+    found = found.join(tree, F.col("__base").eqNullSafe(F.col("base")) & (F.col("__node") == F.col("path"))).where("star OR __node = __asked").select("__base", "__asked", "traces")
+    return asked.join(found, F.col("base").eqNullSafe(F.col("__base")) & (F.col("path") == F.col("__asked")), "left").select(*(asked[c] for c in asked.columns), "traces")
+
+
+def visit_priorities(edges: DataFrame, visited: DataFrame) -> DataFrame:
+    """(node, priority) of each node with a visited predecessor: its different predecessors that aren't visited yet.
+
+    edges (src, dst), visited (node); the node of the least priority, then of the least id, is the next to visit.
+    """
+    done = visited.select(F.col("node").alias("src")).where("src IS NOT NULL").distinct().withColumn("__done", F.lit(1))
+    counted = edges.select("src", "dst").distinct().join(done, "src", "left").groupBy(F.col("dst").alias("node")).agg(F.count("src").alias("n"), F.count("__done").alias("seen"))
+    return counted.where("seen > 0").select("node", (F.col("n") - F.col("seen")).alias("priority"))

@@ -39,10 +39,16 @@ def skip_duplicated_types(diff: DataFrame, renames: DataFrame, file: str = "file
     return a.unionByName(b).unionByName(old.where("status = 'preexisting'")).select(*diff.columns)
 
 
-def cost_change(current: DataFrame, previous: DataFrame, key: str = "procedure") -> DataFrame:
-    """Procedures whose cost's degree changed: increases, and costs that became infinite or unreachable. null degrees are top."""
-    both = current.select(key, F.col("degree").alias("now"), F.lit(True).alias("__n")).join(previous.select(key, F.col("degree").alias("before"), F.lit(True).alias("__b")), key)
-    kind = F.when(F.col("now").isNull() & F.col("before").isNotNull(), "INFINITE_EXECUTION_TIME").when(F.col("now") < 0, F.when(F.col("before") >= 0, "UNREACHABLE")).when(F.col("now") > F.col("before"), "COMPLEXITY_INCREASE")
+def cost_change(current: DataFrame, previous: DataFrame, key: str = "procedure", on_ui: str | None = None) -> DataFrame:
+    """Procedures whose cost's degree changed: increases, and costs that became infinite or unreachable. null degrees are top.
+
+    on_ui names a column of current that says which procedures run on the user interface's thread; their increases are a kind of
+    their own. A null there says no.
+    """
+    ui = F.coalesce(F.col(on_ui), F.lit(False)) if on_ui else F.lit(False)
+    both = current.select(key, F.col("degree").alias("now"), ui.alias("__ui")).join(previous.select(key, F.col("degree").alias("before")), key)
+    increase = F.when(F.col("__ui"), "COMPLEXITY_INCREASE_UI_THREAD").otherwise("COMPLEXITY_INCREASE")
+    kind = F.when(F.col("now").isNull() & F.col("before").isNotNull(), "INFINITE_EXECUTION_TIME").when(F.col("now") < 0, F.when(F.col("before") >= 0, "UNREACHABLE")).when(F.col("now") > F.col("before"), increase)
     return both.withColumn("kind", kind).where("kind IS NOT NULL").select(key, "before", "now", "kind")
 
 

@@ -130,3 +130,36 @@ def linter_scope(spark, t):
 def multimap_add(spark, t):
     side = lambda e: e.select(F.col("dst").alias("key"), F.col("src").alias("value"))
     return tables.multimap_add(side(calls(t)), side(dag(t)))
+
+
+@query("cost_change_on_ui", ops="Q4", sql=f"SELECT c.procedure, p.degree AS before, c.degree AS now, CASE WHEN c.degree IS NULL THEN 'INFINITE_EXECUTION_TIME' WHEN c.degree < 0 THEN 'UNREACHABLE' WHEN c.procedure IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') THEN 'COMPLEXITY_INCREASE_UI_THREAD' ELSE 'COMPLEXITY_INCREASE' END AS kind FROM {LATE} c JOIN {EARLY} p ON c.procedure = p.procedure WHERE (c.degree IS NULL AND p.degree IS NOT NULL) OR (c.degree < 0 AND p.degree >= 0) OR c.degree > p.degree")
+def cost_change_on_ui(spark, t):
+    now, before = _costs(t)
+    ui = t("orders").where("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("procedure")).distinct().withColumn("on_ui", F.lit(True))
+    return diff.cost_change(now.join(ui, "procedure", "left"), before, on_ui="on_ui")
+
+
+@query("visit_priorities", ops="W11", sql=f"SELECT node, priority, row_number() OVER (ORDER BY priority, node) AS place FROM (SELECT dst AS node, count(*) - count(s_suppkey) AS priority FROM {CALLS} LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 5000) ON s_suppkey = src GROUP BY dst HAVING count(s_suppkey) > 0)")
+def visit_priorities(spark, t):
+    found = dataflow.visit_priorities(calls(t), t("supplier").where("s_acctbal < 5000").select(F.col("s_suppkey").alias("node")))
+    return windows.dense_index(found, ["priority", "node"], "place").select("node", "priority", (F.col("place") + 1).cast("long").alias("place"))
+
+
+ACCESSES = "(SELECT p_type AS base, CASE WHEN p_size % 2 = 0 THEN list_append(string_split(p_name, ' '), p_brand) ELSE string_split(p_name, ' ') END AS path, CAST(p_size % 3 AS VARCHAR) AS trace FROM part)"
+TREES = f"a AS (SELECT DISTINCT base, path[:2] AS path, len(path) > 2 AS star, trace FROM {ACCESSES}), s AS (SELECT DISTINCT base, path, star, k, path[:k] AS node FROM (SELECT base, path, star, unnest(range(0, len(path) + 1)) AS k FROM a)), m AS (SELECT base, node FROM s GROUP BY ALL HAVING count(DISTINCT CASE WHEN k < len(path) THEN path[k + 1] END) > 7 OR bool_or(star AND k = len(path))), f AS (SELECT base, path, min(k) AS k FROM s JOIN m USING (base, node) GROUP BY base, path), e AS (SELECT DISTINCT base, CASE WHEN k IS NULL THEN path ELSE path[:k] END AS path, k IS NOT NULL AS star, trace FROM a LEFT JOIN f USING (base, path)), x AS (SELECT *, unnest(range(0, len(path) + 1)) AS k FROM e), tree AS (SELECT base, path[:k] AS path, bool_or(star AND k = len(path)) AS star, coalesce(list_sort(list(DISTINCT trace) FILTER (k = len(path))), []) AS traces FROM x GROUP BY base, path[:k])"
+
+
+def _accesses(t):
+    words = F.split("p_name", " ")
+    return t("part").select(F.col("p_type").alias("base"), F.when(F.col("p_size") % 2 == 0, F.concat(words, F.array("p_brand"))).otherwise(words).alias("path"), (F.col("p_size") % 3).cast("string").alias("trace"))
+
+
+@query("access_tree", ops="D12", sql=f"WITH {TREES} SELECT base, array_to_string(path, '.') AS path, star, array_to_string(traces, ',') AS traces FROM tree")
+def access_tree(spark, t):
+    return dataflow.access_tree(_accesses(t), 2, 7).select("base", F.array_join("path", ".").alias("path"), "star", F.array_join("traces", ",").alias("traces"))
+
+
+@query("tree_traces", ops="D12", sql=f"WITH {TREES} SELECT p_partkey, array_to_string(t.traces, ',') AS traces FROM (SELECT p_partkey, 'LARGE' AS base, string_split(p_name, ' ') AS path FROM part) q LEFT JOIN tree t ON t.base = q.base AND (t.path = q.path OR (t.star AND t.path = q.path[:len(t.path)]))")
+def tree_traces(spark, t):
+    asked = t("part").select("p_partkey", F.lit("LARGE").alias("base"), F.split("p_name", " ").alias("path"))
+    return dataflow.tree_traces(dataflow.access_tree(_accesses(t), 2, 7), asked).select("p_partkey", F.array_join("traces", ",").alias("traces"))

@@ -47,6 +47,13 @@ def rule_actions(spark, t):
     return engine.fired_rules(t("events"), rules).select("event_id", "action")
 
 
+@query("session_rules", ops="R11", sql="SELECT user_id AS key, action FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) JOIN (VALUES ('error', 2, 'alert'), ('purchase', 1, 'greet'), ('purchase', 4, 'thank')) r(event_type, least, action) USING (event_type) WHERE n >= least")
+def session_rules(spark, t):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rules = [("error", 2, "alert"), ("purchase", 1, "greet"), ("purchase", 4, "thank")]
+    return _replayed(spark, t, lambda s: engine.session_rules(s.select(F.col("user_id").alias("key"), "event_type"), rules), "append")
+
+
 @query("json_messages", ops="R13 S22", sql="SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def json_messages(spark, t):
     return engine.parsed(t("events"), "k long", "props").groupBy("k").agg(F.count(F.lit(1)).alias("n"))

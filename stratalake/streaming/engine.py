@@ -113,6 +113,38 @@ def length_windows(stream: DataFrame, length: int) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(LengthWindow(length), outputStructType="key long, seq long, n int, total double", outputMode="Append", timeMode="None")
 
 
+class CountedRules(StatefulProcessor):
+    """Rules of a session for each key: an action fires once, when the rows of its type that the session has seen reach its count."""
+
+    def __init__(self, rules: list[tuple[str, int, str]]):
+        self.rules = rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "event_type string", "n long")
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        import pandas as pd
+
+        new: dict[str, int] = {}
+        for pdf in rows:
+            for name, n in pdf["event_type"].value_counts().items():
+                new[name] = new.get(name, 0) + int(n)
+        out = []
+        for name, n in new.items():
+            before = int(self.seen.getValue((name,))[0]) if self.seen.containsKey((name,)) else 0
+            out += [(key[0], action) for kind, least, action in self.rules if kind == name and before < least <= before + n]
+            self.seen.updateValue((name,), (before + n,))
+        yield pd.DataFrame(out, columns=["key", "action"])
+
+    def close(self) -> None:
+        pass
+
+
+def session_rules(stream: DataFrame, rules: list[tuple[str, int, str]]) -> DataFrame:
+    """(key, action) of stateful rules (event type, count, action) over a stream (key long, event_type string)."""
+    return stream.groupBy("key").transformWithStateInPandas(CountedRules(rules), outputStructType="key long, action string", outputMode="Append", timeMode="None")
+
+
 def distinct_within(stream: DataFrame, time: str, columns: list[str], lateness: str) -> DataFrame:
     return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark(columns)
 

@@ -64,3 +64,25 @@ def test_cost_summary_and_scope(spark):
     paths = spark.createDataFrame([("a/x",), ("b/x",), (None,)], "p string")
     keep = lambda *a: [r.p for r in paths.where(diff.in_scope(F.col("p"), *a)).collect()]
     assert (keep(), keep(["^a"]), keep([], ["^a"]), keep(["x"], ["x"])) == (["a/x", "b/x"], ["a/x"], ["b/x"], [])
+
+
+def test_access_tree(spark):
+    schema = "base string, path array<string>, trace string"
+    rows = [("x", ["f"], "a"), ("x", ["f", "g", "h"], "b"), ("x", ["f", "g"], "c"), ("y", ["p"], "a"), ("y", ["q", "r"], "b"), ("y", ["s"], None), ("y", [], "d"), ("z", None, "a"), (None, ["f"], "a"), (None, ["f"], "a")]
+    tree = dataflow.access_tree(spark.createDataFrame(rows, schema), 2, 2)
+    got = {(r.base, tuple(r.path)): (r.star, r.traces) for r in tree.collect()}
+    # x.f.g is cut at depth 2; y has three successors and becomes a starred leaf with all that lay below
+    assert got == {("x", ()): (False, []), ("x", ("f",)): (False, ["a"]), ("x", ("f", "g")): (True, ["b", "c"]), ("y", ()): (True, ["a", "b", "d"]), (None, ()): (False, []), (None, ("f",)): (False, ["a"])}
+    asked = spark.createDataFrame([("x", ["f", "g", "z"]), ("x", []), ("x", ["k"]), ("y", ["q"]), (None, ["f"])], "base string, path array<string>")
+    assert [r.traces for r in sorted(dataflow.tree_traces(tree, asked).collect(), key=lambda r: (r.base or "", r.path))] == [["a"], [], ["b", "c"], None, ["a", "b", "d"]]
+    assert dataflow.access_tree(spark.createDataFrame([], schema), 2, 2).count() == 0
+
+
+def test_visit_priorities_and_ui(spark):
+    edges = spark.createDataFrame([(1, 3), (1, 3), (2, 3), (1, 4), (2, 5)], "src long, dst long")
+    visited = spark.createDataFrame([(1,), (1,), (None,)], "node long")
+    assert sorted(map(tuple, dataflow.visit_priorities(edges, visited).collect())) == [(3, 1), (4, 0)]
+    now = spark.createDataFrame([(1, 3, True), (2, 3, False), (3, 3, None), (4, None, True)], "procedure long, degree long, on_ui boolean")
+    before = now.select("procedure", F.lit(1).alias("degree"))
+    kinds = {r.procedure: r.kind for r in diff.cost_change(now, before, on_ui="on_ui").collect()}
+    assert kinds == {1: "COMPLEXITY_INCREASE_UI_THREAD", 2: "COMPLEXITY_INCREASE", 3: "COMPLEXITY_INCREASE", 4: "INFINITE_EXECUTION_TIME"}
