@@ -145,21 +145,23 @@ def visit_priorities(spark, t):
     return windows.dense_index(found, ["priority", "node"], "place").select("node", "priority", (F.col("place") + 1).cast("long").alias("place"))
 
 
-ACCESSES = "(SELECT p_type AS base, CASE WHEN p_size % 2 = 0 THEN list_append(string_split(p_name, ' '), p_brand) ELSE string_split(p_name, ' ') END AS path, CAST(p_size % 3 AS VARCHAR) AS trace FROM part)"
-TREES = f"a AS (SELECT DISTINCT base, path[:2] AS path, len(path) > 2 AS star, trace FROM {ACCESSES}), s AS (SELECT DISTINCT base, path, star, k, path[:k] AS node FROM (SELECT base, path, star, unnest(range(0, len(path) + 1)) AS k FROM a)), m AS (SELECT base, node FROM s GROUP BY ALL HAVING count(DISTINCT CASE WHEN k < len(path) THEN path[k + 1] END) > 7 OR bool_or(star AND k = len(path))), f AS (SELECT base, path, min(k) AS k FROM s JOIN m USING (base, node) GROUP BY base, path), e AS (SELECT DISTINCT base, CASE WHEN k IS NULL THEN path ELSE path[:k] END AS path, k IS NOT NULL AS star, trace FROM a LEFT JOIN f USING (base, path)), x AS (SELECT *, unnest(range(0, len(path) + 1)) AS k FROM e), tree AS (SELECT base, path[:k] AS path, bool_or(star AND k = len(path)) AS star, coalesce(list_sort(list(DISTINCT trace) FILTER (k = len(path))), []) AS traces FROM x GROUP BY base, path[:k])"
+ACCESSES = "(SELECT p_partkey, base, CASE WHEN p_size % 2 = 0 THEN [word, field, p_brand] ELSE [word, field] END AS path, CAST(p_size % 3 AS VARCHAR) AS trace FROM (SELECT *, p_type AS base, split_part(p_name, ' ', 1) AS word, CAST(CASE WHEN p_name LIKE 'cold%' OR p_name LIKE 'small%' THEN p_size ELSE p_size % 5 END AS VARCHAR) AS field FROM part))"
+TREES = f"a AS (SELECT DISTINCT base, path[:2] AS path, len(path) > 2 AS star, trace FROM {ACCESSES}), s AS (SELECT DISTINCT base, path, star, k, path[:k] AS node FROM (SELECT base, path, star, unnest(range(0, len(path) + 1)) AS k FROM a)), m AS (SELECT base, node FROM s GROUP BY ALL HAVING count(DISTINCT CASE WHEN k < len(path) THEN path[k + 1] END) > 8 OR bool_or(star AND k = len(path))), f AS (SELECT base, path, min(k) AS k FROM s JOIN m USING (base, node) GROUP BY base, path), e AS (SELECT DISTINCT base, CASE WHEN k IS NULL THEN path ELSE path[:k] END AS path, k IS NOT NULL AS star, trace FROM a LEFT JOIN f USING (base, path)), x AS (SELECT *, unnest(range(0, len(path) + 1)) AS k FROM e), tree AS (SELECT base, path[:k] AS path, bool_or(star AND k = len(path)) AS star, coalesce(list_sort(list(DISTINCT trace) FILTER (k = len(path))), []) AS traces FROM x GROUP BY base, path[:k])"
 
 
 def _accesses(t):
-    words = F.split("p_name", " ")
-    return t("part").select(F.col("p_type").alias("base"), F.when(F.col("p_size") % 2 == 0, F.concat(words, F.array("p_brand"))).otherwise(words).alias("path"), (F.col("p_size") % 3).cast("string").alias("trace"))
+    """A part's type is the base; some words have a field for each size, the others one for each fifth."""
+    field = F.when(F.col("p_name").rlike("^(cold|small)"), F.col("p_size")).otherwise(F.col("p_size") % 5).cast("string")
+    path = F.array(F.split_part("p_name", F.lit(" "), F.lit(1)), field)
+    return t("part").select("p_partkey", F.col("p_type").alias("base"), F.when(F.col("p_size") % 2 == 0, F.concat(path, F.array("p_brand"))).otherwise(path).alias("path"), (F.col("p_size") % 3).cast("string").alias("trace"))
 
 
 @query("access_tree", ops="D12", sql=f"WITH {TREES} SELECT base, array_to_string(path, '.') AS path, star, array_to_string(traces, ',') AS traces FROM tree")
 def access_tree(spark, t):
-    return dataflow.access_tree(_accesses(t), 2, 7).select("base", F.array_join("path", ".").alias("path"), "star", F.array_join("traces", ",").alias("traces"))
+    return dataflow.access_tree(_accesses(t), 2, 8).select("base", F.array_join("path", ".").alias("path"), "star", F.array_join("traces", ",").alias("traces"))
 
 
-@query("tree_traces", ops="D12", sql=f"WITH {TREES} SELECT p_partkey, array_to_string(t.traces, ',') AS traces FROM (SELECT p_partkey, 'LARGE' AS base, string_split(p_name, ' ') AS path FROM part) q LEFT JOIN tree t ON t.base = q.base AND (t.path = q.path OR (t.star AND t.path = q.path[:len(t.path)]))")
+@query("tree_traces", ops="D12", sql=f"WITH {TREES} SELECT p_partkey, array_to_string(t.traces, ',') AS traces FROM (SELECT p_partkey, 'LARGE' AS base, path FROM {ACCESSES}) q LEFT JOIN tree t ON t.base = q.base AND (t.path = q.path OR (t.star AND t.path = q.path[:len(t.path)]))")
 def tree_traces(spark, t):
-    asked = t("part").select("p_partkey", F.lit("LARGE").alias("base"), F.split("p_name", " ").alias("path"))
-    return dataflow.tree_traces(dataflow.access_tree(_accesses(t), 2, 7), asked).select("p_partkey", F.array_join("traces", ",").alias("traces"))
+    asked = _accesses(t).select("p_partkey", F.lit("LARGE").alias("base"), "path")
+    return dataflow.tree_traces(dataflow.access_tree(_accesses(t), 2, 8), asked).select("p_partkey", F.array_join("traces", ",").alias("traces"))
