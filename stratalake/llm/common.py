@@ -8,6 +8,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
+import posixpath
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,6 +38,18 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Give back the disk of what is over: materialised tables that no plan will read again, and shuffles that none refers to.
+
+    Spark removes shuffle files only after the driver has collected its garbage, which by itself it may not do during a whole query.
+    """
+    for table in tables:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(posixpath.dirname(table.inputFiles()[0]))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows that a key may bring into one task; keys of more are hot. At most 1 << HOT_BITS keys can be.
 HOT_ROWS, HOT_BITS = 1024, 17
 

@@ -3,11 +3,12 @@
 Every text becomes the set of its distinct word shingles (64-bit hashes). Two texts link when
 100 * |A & B| >= percent * |A | B|. The steps, all distributed:
 
-1. count each shingle over the whole corpus (32 bits of the hash, counted in packed partitions) and fold the counts into
-   a table of levels of a fixed size; rare shingles come first in the order (level, hash). Any order gives right results;
+1. count each shingle over the whole corpus (42 bits of the hash, counted in packed partitions) and fold the counts into
+   tables of a fixed size: levels, and a bit for those that several texts have, which tells the others apart also where every level
+   is taken; rare shingles come first in the order (level, hash). Any order gives right results;
 2. compute each text's set size, set key and prefix: the first n - ceil(t n) + 1 shingles in that order;
 3. texts with one set form a class, classes with one prefix and size form a group;
-4. groups that share a prefix shingle and fit by size, directly or through others, form a family (components over edges
+4. prefix shingles that one group alone has (those of exact copies) are left out by a filter of a fixed size; groups that share a prefix shingle and fit by size, directly or through others, form a family (components over edges
    that are linear in the number of postings); every linked pair lies in one family;
 5. families are split into blocks of bounded classes and shingles by size band and salt; each pair of blocks filters pairs
    of groups by their prefixes and sizes, expands the groups that are left to their members, and verifies the members'
@@ -22,7 +23,7 @@ Classes go by numbers of their own, not by ids: an id may stand on rows of diffe
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import WHITE_SPACE, hash_words, hot_rows, join_counted, materialise, mix, release, shingle_hashes, spans, text_buffer, tidy, word_mask
+from stratalake.llm.common import WHITE_SPACE, discard, hash_words, hot_rows, join_counted, materialise, mix, release, shingle_hashes, spans, text_buffer, tidy, word_mask
 from stratalake.llm.components import connected_components
 
 #: Bytes of texts, or of prefixes, that are worked on at a time.
@@ -39,6 +40,8 @@ CHUNK = 1 << 18
 SLOT_BITS = 24
 #: The same for the filter of texts whose whole sets are needed, a bit each.
 FILTER_BITS = 24
+#: The same for the shingles that several texts have and for the prefix shingles that several groups have, a bit each.
+SHARED_BITS, SEVERAL_BITS = 27, 25
 #: Parts that the counts are dealt into, by the first bits of the hash: a part has at most 1 << (32 - PART_BITS) shingles.
 PART_BITS = 10
 #: Hashes that are held before they are counted and put out.
@@ -61,15 +64,34 @@ def _sets(batch_text: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarra
         yield a, [np.unique(h[o[i] : o[i + 1]]) for i in range(b - a)]
 
 
-def _levels(spark: SparkSession, docs: DataFrame, size: int, part_bits: int = PART_BITS) -> np.ndarray:
-    """A level (0: one text has it, else log2 of the number of texts) for each slot, the top SLOT_BITS bits of a hash."""
+def _top(hashes: np.ndarray, slots: int) -> np.ndarray:
+    """The hashes' slots of a power of two: their top bits."""
+    return (hashes >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def _bit(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of the hashes' slots are set."""
+    at = _top(hashes, 8 * len(table))
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _level(tables: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """The hashes' levels; 0 if one text alone has the shingle."""
+    levels, shared = tables
+    return np.where(_bit(shared, hashes), levels[_top(hashes, len(levels))], 0)
+
+
+def _levels(spark: SparkSession, docs: DataFrame, size: int, part_bits: int = PART_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Of the slots, the top SLOT_BITS and SHARED_BITS bits of a hash: the greatest level (log2 of the number of texts), and bits that
+    are set where a shingle has two texts or more."""
     n_parts = 1 << part_bits
 
     @tidy
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-            keys, counts = np.unique((np.concatenate(held) >> np.uint64(32)).astype(np.uint32), return_counts=True)
-            cut = np.searchsorted(keys >> np.uint32(32 - part_bits), np.arange(n_parts + 1))
+            keys, counts = np.unique(np.concatenate(held) >> np.uint64(32 - part_bits), return_counts=True)
+            cut = np.searchsorted((keys >> np.uint64(32)).astype(np.int64), np.arange(n_parts + 1))
+            keys = keys.astype(np.uint32)  # the next 32 bits; a part's own are its number
             rows = [(p, keys[i:j].tobytes(), c.astype(np.uint32).tobytes() if (c := counts[i:j]).max() > 1 else None) for p in range(n_parts) if (i := cut[p]) < (j := cut[p + 1])]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "keys", "counts"])
 
@@ -99,9 +121,10 @@ def _levels(spark: SparkSession, docs: DataFrame, size: int, part_bits: int = PA
         def levels() -> pa.RecordBatch:
             k, total = merge()
             table = np.zeros(1 << (SLOT_BITS - part_bits), np.uint8)
-            slot = (k >> np.uint32(32 - SLOT_BITS)).astype(np.int64) & (len(table) - 1)
-            np.maximum.at(table, slot, np.log2(total).astype(np.uint8))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["part", "levels"])
+            np.maximum.at(table, k.astype(np.int64) >> (32 - SLOT_BITS + part_bits), np.log2(total).astype(np.uint8))
+            shared = np.zeros(1 << (SHARED_BITS - part_bits), bool)
+            shared[k[total > 1].astype(np.int64) >> (32 - SHARED_BITS + part_bits)] = True
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (table, np.packbits(shared)))], names=["part", "levels", "shared"])
 
         for batch in batches:
             for p, keys, counts in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -119,10 +142,67 @@ def _levels(spark: SparkSession, docs: DataFrame, size: int, part_bits: int = PA
             yield levels()
 
     counted = docs.select("text").mapInArrow(packed, "part int, keys binary, counts binary")
-    found = counted.repartition("part").sortWithinPartitions("part").mapInArrow(merged, "part int, levels binary")
-    table = np.zeros((n_parts, 1 << (SLOT_BITS - part_bits)), np.uint8)
-    for row in found.toLocalIterator():  # one row a part, 2 ** SLOT_BITS bytes in all
+    found = counted.repartition("part").sortWithinPartitions("part").mapInArrow(merged, "part int, levels binary, shared binary")
+    table, shared = np.zeros((n_parts, 1 << (SLOT_BITS - part_bits)), np.uint8), np.zeros((n_parts, 1 << (SHARED_BITS - part_bits - 3)), np.uint8)
+    for row in found.toLocalIterator():  # one row a part, 2 ** SLOT_BITS bytes and 2 ** SHARED_BITS bits in all
         table[row["part"]] = np.frombuffer(row["levels"], np.uint8)
+        shared[row["part"]] = np.frombuffer(row["shared"], np.uint8)
+    return table.reshape(-1), shared.reshape(-1)
+
+
+def _several(prefixes: DataFrame, levels, part_bits: int = PART_BITS) -> np.ndarray:
+    """A bit for each slot, the top SEVERAL_BITS bits of a hash: set if any first 32 bits in it stand in the prefixes twice or more."""
+    n_parts, per_part = 1 << part_bits, 1 << (32 - part_bits)
+
+    @tidy
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(held))
+            cut = np.searchsorted(keys >> np.uint32(32 - part_bits), np.arange(n_parts + 1))
+            rows = [(p, keys[i:j].tobytes()) for p in range(n_parts) if (i := cut[p]) < (j := cut[p + 1])]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "keys"])
+
+        held, n = [], 0
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(0))
+            for a, b in spans(offsets, CHUNK):
+                tokens = np.frombuffer(data[offsets[a] : offsets[b]].tobytes(), np.uint64)
+                tokens = tokens[_level(levels.value, tokens) > 0]
+                held.append((tokens >> np.uint64(32)).astype(np.uint32))
+                n += len(tokens)
+                if n >= HELD:
+                    yield flush(held)
+                    held, n = [], 0
+        if n:
+            yield flush(held)
+
+    @tidy
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come part by part; a part needs two tables of all its keys, whatever it holds
+        part, once, twice = -1, np.zeros(per_part, bool), np.zeros(per_part, bool)
+
+        def slots() -> pa.RecordBatch:
+            bits = np.packbits(twice.reshape(-1, 1 << (32 - SEVERAL_BITS)).any(1))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "bits"])
+
+        for batch in batches:
+            for p, keys in zip(batch.column(0), batch.column(1), strict=True):
+                if p.as_py() != part:
+                    if part >= 0:
+                        yield slots()
+                    part = p.as_py()
+                    once[:], twice[:] = False, False
+                k = np.frombuffer(keys.as_py(), np.uint32) & np.uint32(per_part - 1)
+                twice[k[1:][k[1:] == k[:-1]]] = True
+                twice[k[once[k]]] = True
+                once[k] = True
+        if part >= 0:
+            yield slots()
+
+    found = prefixes.select("prefix").mapInArrow(packed, "part int, keys binary").repartition("part").sortWithinPartitions("part").mapInArrow(merged, "part int, bits binary")
+    table = np.zeros((n_parts, 1 << (SEVERAL_BITS - part_bits - 3)), np.uint8)
+    for row in found.toLocalIterator():  # one row a part, 2 ** SEVERAL_BITS bits in all
+        table[row["part"]] = np.frombuffer(row["bits"], np.uint8)
     return table.reshape(-1)
 
 
@@ -248,7 +328,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     levels = spark.sparkContext.broadcast(_levels(spark, docs, size))
 
     def ordered(s: np.ndarray) -> np.ndarray:
-        level = levels.value[s >> np.uint64(64 - SLOT_BITS)]
+        level = _level(levels.value, s)
         return s[np.argsort(level, kind="stable")] if level.any() else s
 
     @tidy
@@ -262,12 +342,22 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *columns], names=["doc_id", "text_hash", "n", "k1", "k2", "prefix"])
 
     key = ["n", "k1", "k2"]
-    sig = materialise(spark, docs.select("*", F.xxhash64("text").alias("text_hash")).mapInArrow(signatures, "doc_id long, text_hash long, n long, k1 long, k2 long, prefix binary"), "sig")
-    classes = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.max("prefix").alias("prefix"))
+    whole = materialise(spark, docs.select("*", F.xxhash64("text").alias("text_hash")).mapInArrow(signatures, "doc_id long, text_hash long, n long, k1 long, k2 long, prefix binary"), "whole-sig")
+    discard(spark)
+    # prefixes are dealt out once; elsewhere two hashes stand for them
+    hashes = F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit("prefix"), "prefix").alias("p2")
+    sig = materialise(spark, whole.select("doc_id", "text_hash", *key, *hashes), "sig")
+    classes = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.max("p1").alias("p1"), F.max("p2").alias("p2"))
     # written once, so the numbers stay
-    classes = materialise(spark, classes.withColumn("class_no", F.monotonically_increasing_id()), "classes")
-    groups = classes.groupBy("n", "prefix").agg(F.min("class_no").alias("group_no"))
-    classes = materialise(spark, classes.join(groups, ["n", "prefix"]), "classes")
+    numbered = materialise(spark, classes.withColumn("class_no", F.monotonically_increasing_id()), "numbered")
+    groups = numbered.groupBy("n", "p1", "p2").agg(F.min("class_no").alias("group_no"))
+    classes = materialise(spark, numbered.join(groups, ["n", "p1", "p2"]).drop("p1", "p2"), "classes")
+    first = classes.where("group_no = class_no").select(F.col("class_id").alias("doc_id"), *key, "group_no")
+    prefixes = whole.select("doc_id", *key, "prefix").join(first, ["doc_id", *key]).dropDuplicates(["doc_id", *key, "group_no"])
+    prefixes = materialise(spark, prefixes.select("group_no", "n", "prefix"), "prefixes")
+    discard(spark, whole, numbered)
+    several = spark.sparkContext.broadcast(_several(prefixes, levels))
+    discard(spark)
 
     @tidy
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,14 +367,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
                 many = np.diff(offsets[a : b + 1]) // 8
                 place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 tokens = np.frombuffer(data[offsets[a] : offsets[b]].tobytes(), np.uint64)
-                # at level 0 no other text has the shingle
-                some = levels.value[tokens >> np.uint64(64 - SLOT_BITS)] > 0
+                # at level 0 no other text has the shingle, in a slot without its bit no other group's prefix
+                some = (_level(levels.value, tokens) > 0) & _bit(several.value, tokens)
                 columns = [pa.array(tokens[some].view(np.int64)), *(pa.array(np.repeat(batch.column(i).slice(a, b - a).to_numpy(), many)[some], pa.int64()) for i in (0, 1)), pa.array(place[some].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["token", "group_no", "n", "place"])
 
     # a little wider than the ratio, so that rounding never puts a linked pair two bands apart
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(1e-4, 1.001 * math.log(100 / percent)))).cast("int")
-    posted = classes.where("group_no = class_no").select("group_no", "n", "prefix").mapInArrow(postings, "token long, group_no long, n long, place int")
+    posted = prefixes.mapInArrow(postings, "token long, group_no long, n long, place int")
     shared = materialise(spark, posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     common = shared.where(F.col("df") > hot_rows(shared, "df")).select("token")
     listed = posted.join(shared.select("token"), "token").join(F.broadcast(common), "token", "left_anti")
@@ -297,14 +387,17 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
         above = least.select("token", (F.col("band") - 1).alias("band"), F.col("u").alias("v"))
         near = near.unionByName(stars).unionByName(least.join(above, ["token", "band"]).select("u", "v"))
     families = connected_components(spark, near).select(F.col("node").alias("group_no"), F.col("component").alias("family"))
+    discard(spark, prefixes, shared)
     # a group of several classes is a family even where no other group is near it
     crowded = classes.groupBy("group_no").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("group_no")
     families = families.unionByName(crowded.join(families, "group_no", "left_anti").select("group_no", F.col("group_no").alias("family")))
     members = materialise(spark, classes.join(families, "group_no").withColumn("band", band), "members")
-    sets = _whole_sets(spark, docs, members, size).dropDuplicates(["doc_id", *key]).withColumnRenamed("doc_id", "class_id")
+    sets = _whole_sets(spark, docs, members, size, percent, ordered).dropDuplicates(["doc_id", *key]).withColumnRenamed("doc_id", "class_id")
 
     found = materialise(spark, _dealt(spark, members, sets).groupBy("family", "b1", "s1", "b2", "s2").applyInPandas(_verify(percent), "u long, v long, degree long"), "links")
+    discard(spark, members)
     comps = connected_components(spark, found.where("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("class_no"), "component")
+    discard(spark)
     least = materialise(spark, comps.join(classes.select("class_no", "class_id"), "class_no").groupBy("component").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "least")
     comps = join_counted(comps, least, ["component"], ["class_no"], "members").select("class_no", "component_id")
     degrees = found.where("v IS NULL").groupBy(F.col("u").alias("class_no")).agg(F.sum("degree").alias("degree"))
@@ -358,8 +451,8 @@ def _near(percent: int):
     return run
 
 
-def _whole_sets(spark: SparkSession, docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, k1, k2, shingles) of the members' texts, and of a few others: a filter of fixed size spares the rest."""
+def _whole_sets(spark: SparkSession, docs: DataFrame, members: DataFrame, size: int, percent: int, ordered: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(doc_id, n, k1, k2, prefix, shingles) of the members' texts, and of a few others: a filter of fixed size spares the rest."""
     slot = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS)).cast("int")
     # the filter is put together in the cluster, 64 bits a row; its size is fixed, and what it lets through too much is joined away
     words = members.select(slot("class_id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
@@ -375,10 +468,11 @@ def _whole_sets(spark: SparkSession, docs: DataFrame, members: DataFrame, size:
             batch = batch.filter(pa.array((flags.value[at >> 6] >> (at & 63) & 1).astype(bool)))
             for a, sets in _sets(batch.column(1), size):
                 keys = [_key(s) for s in sets]
-                columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), *columns], names=["doc_id", "n", "k1", "k2", "shingles"])
+                prefixes = [ordered(s)[: prefix_length(len(s), percent)].tobytes() for s in sets]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(prefixes, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), *columns], names=["doc_id", "n", "k1", "k2", "prefix", "shingles"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(whole, "doc_id long, n long, k1 long, k2 long, shingles binary")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(whole, "doc_id long, n long, k1 long, k2 long, prefix binary, shingles binary")
 
 
 def _dealt(spark: SparkSession, members: DataFrame, sets: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from stratalake.llm import common, components, decontaminate, entry, license_scan, line_dedup, ngram_jaccard
@@ -75,6 +77,26 @@ def test_hot_keys_lose_no_link(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in got) == brute_components(rows, 4, 85)
 
 
+def test_levels_of_taken_slots(spark, monkeypatch):
+    """What one text alone has is known where every slot of levels is taken, and tables that are read no more are given back."""
+    rng = random.Random(9)
+    rows = near_copies() + [(2000 + k, " ".join(f"v{rng.randrange(10**6)}" for _ in range(300))) for k in range(40)]
+    rows += [(3000 + k, t) for k, (_, t) in enumerate(rows[-20:])]
+    monkeypatch.setattr(ngram_jaccard, "SLOT_BITS", ngram_jaccard.PART_BITS)
+    docs = frame(spark, rows)
+    tables = ngram_jaccard._levels(spark, docs, 4)
+    assert (tables[0] > 0).mean() > 0.9
+    texts = dict(rows)
+    _, (alone, copied) = next(ngram_jaccard._sets(pa.array([texts[2000], texts[500]]), 4))
+    assert (ngram_jaccard._level(tables, alone) == 0).mean() > 0.99 and (ngram_jaccard._level(tables, copied) > 0).all()
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    got = ngram_jaccard.jaccard_components(spark, docs).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in got) == brute_components(rows, 4, 85)
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert "named" in left and not left & {"whole-sig", "numbered", "prefixes", "shared", "members"}
+
+
 def test_components_of_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
