@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 from stratalake import registry
 from stratalake.operators import graph
 
@@ -43,3 +46,18 @@ def test_rich_nodes_of_all_suppliers(spark, tmp_path):
     spark.createDataFrame([(45, 1), (46, 1), (50, 1), (47, 2)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     got = sorted((r.src, r.dst - 1_000_000) for r in QUERIES["rich_nodes"].run(spark, str(tmp_path)).collect())
     assert got == sorted([(src, 45) for src in (1, 2, 3, 4, 5, 8)] + [(6, 50), (7, 46), (1, 46), (2, 47)])
+
+
+def test_conflicts_are_made_once(spark, tmp_path):
+    """Each pair comes out of the join once: no rows of the join are dealt out again to remove repeated ones."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, "purchase", "purchase", "view", "click"]), rng.choice([None, 0.05, 0.15, 0.151, 3.0])) for _ in range(150)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["conflicting_accesses"].run(spark, str(tmp_path))
+    want = set()
+    for (u, p, a), (v, q, b) in itertools.product([r for r in rows if None not in r], repeat=2):
+        if u < v and int(a * 10) == int(b * 10) and p != q and "purchase" in (p, q):
+            want.add((u, v, int(a * 10)))
+    assert want and sorted(tuple(r) for r in found.collect()) == sorted(want)
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
+    assert "Aggregate" not in above
