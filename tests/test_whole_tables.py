@@ -61,3 +61,10 @@ def test_conflicts_are_made_once(spark, tmp_path):
     assert want and sorted(tuple(r) for r in found.collect()) == sorted(want)
     above = found._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
     assert "Aggregate" not in above
+
+
+def test_similar_pairs_broadcast_no_nodes(spark):
+    """Parts are below Spark's own limit for broadcasts here, as they are in a file of a million."""
+    plan = QUERIES["similarity_pairs"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and ("[a_" in line or "[b_" in line)]
+    assert len(joins) >= 9 and all("SortMergeJoin" in line for line in joins)
