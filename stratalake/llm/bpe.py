@@ -29,19 +29,22 @@ from stratalake.llm.common import spans, text_buffer, tidy
 #: Fixed value: the pre-token pattern of the vocabulary, with white space as Unicode's White_Space property.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Entries of each of the two generations of the table of pieces seen, and the letters of a piece that it keeps.
-GENERATION, CACHED_LETTERS = 80_000, 48
+#: Entries of each of the two generations of the table of pieces seen, the letters of a piece that it keeps, and bytes of ids that bound nothing.
+GENERATION, CACHED_LETTERS, ANY_ROOM = 80_000, 48, 1 << 62
 PAIRS = 1 << 17
 #: Pieces of a text that are looked up at a time, and bytes of texts in one batch of results.
 PIECES_AT_A_TIME, BATCH_BYTES = 1 << 16, 1 << 20
 
 
 class Seen(dict):
-    """Ids of pieces by piece, made when first asked for. Two generations of bounded size: a full one becomes the old one."""
+    """Ids of pieces by piece, made when first asked for. Two generations of bounded size: a full one becomes the old one.
 
-    def __init__(self, make: Callable[[str], bytes], generation: int = GENERATION):
+    A generation is full at so many entries, or at so many bytes of ids (room) where these are many.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], generation: int = GENERATION, room: int = ANY_ROOM):
         super().__init__()
-        self.make, self.generation = make, generation
+        self.make, self.generation, self.room, self.size = make, generation, room, 0
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -49,9 +52,11 @@ class Seen(dict):
         if found is None:
             found = self.make(piece)
         if len(piece) <= CACHED_LETTERS:
-            if len(self) >= self.generation:
+            self.size += len(found)
+            if len(self) >= self.generation or self.size > self.room:
                 self.old = dict(self)
                 self.clear()
+                self.size = len(found)
             self[piece] = found
         return found
 
@@ -66,7 +71,7 @@ def byte_letters() -> dict[str, int]:
 class Encoder:
     """Exact merges of one byte-level vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, generation: int = GENERATION, room: int = ANY_ROOM):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -104,7 +109,7 @@ class Encoder:
         self.pairs: dict[int, bool] = {}
         #: For each token, whether merging its own bytes gives it: 0 not asked yet, 1 no, 2 yes.
         self.own = bytearray(n)
-        self.seen = Seen(lambda p: struct.pack(f"<{len(ids := self.piece(p.encode()))}I", *ids))
+        self.seen = Seen(lambda p: struct.pack(f"<{len(ids := self.piece(p.encode()))}I", *ids), generation, room)
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b by rank stops at (a, b).
@@ -221,9 +226,9 @@ class Encoder:
 
 
 @functools.lru_cache(4)
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    return Encoder(path)
+def encoder(path: str, generation: int = GENERATION, room: int = ANY_ROOM) -> Encoder:
+    """One encoder for each worker process, file and size of its table of pieces."""
+    return Encoder(path, generation, room)
 
 
 def bpe_digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

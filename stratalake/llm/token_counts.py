@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalake.llm.bpe import encoder
+from stratalake.llm.bpe import Encoder, encoder
 from stratalake.llm.common import shared_dir, tidy
 
 BLOCK_TOKENS = 1 << 20
 #: Bytes of documents that a row of the writer holds, and such rows to a file: a file is near 32 MB, more only by one document.
 RECORD_BYTES, RECORDS_PER_FILE = 4 << 20, 8
+#: Entries, and bytes of ids, of each generation of the writer's table of pieces: larger than the encoder's own, as pieces that come
+#: back after they were dropped are costly to make again. Just under the entries at which a dict doubles its slots.
+GENERATION, ROOM = 349_000, 11 << 20
 #: Ids at the front of each document that spell its doc_id, least digit first, in the base of the separator.
 ID_DIGITS = 5
 
@@ -37,6 +40,11 @@ def id_digits(doc_id: int, end: int) -> list[int]:
     return out
 
 
+def writer_encoder(vocabulary: str) -> Encoder:
+    """The encoder of a worker that writes flat files."""
+    return encoder(vocabulary, GENERATION, ROOM)
+
+
 def write_token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, end: int, id_col: str = "doc_id", text_col: str = "text", records_per_file: int = RECORDS_PER_FILE, record_bytes: int = RECORD_BYTES) -> str:
     """Encode whole texts (null: empty) into flat files under the shared folder and return their folder.
 
@@ -50,7 +58,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, end
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary)
+        e = writer_encoder(vocabulary)
         plain = functools.lru_cache(8)(lambda s: np.frombuffer(b"".join(np.array(e.piece(p.encode()), "<u4").tobytes() for p in e.pieces.findall(s)), "<u4"))
         names = {i: s for s, i in e.special.items()}
         held, size = [], 0

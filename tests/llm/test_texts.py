@@ -257,6 +257,22 @@ def test_token_counts(spark, block):
     assert token_counts.token_counts(spark, docs.limit(0), entry.byte_bpe()).count() == 0
 
 
+def test_recurring_pieces_are_made_once():
+    # more pieces than one generation of the encoder's own table, again and again: the writer makes each of them once
+    of_writer, made = token_counts.writer_encoder(entry.byte_bpe()).seen, []
+    kept = bpe.Seen(lambda p: made.append(p) or b"1234" * 4, of_writer.generation, of_writer.room)
+    for _ in range(3):
+        for k in range(300_000):
+            assert kept[f" w{k}"] == b"1234" * 4
+    assert len(made) == 300_000
+    # pieces of many ids fill it up sooner
+    kept = bpe.Seen(lambda p: b"1234" * 100, 1000, 4000)
+    for k in range(95):
+        kept[f" w{k}"]
+        assert sum(map(len, kept.values())) <= 4000 and len(kept.old) <= 10
+    assert (len(kept), len(kept.old)) == (5, 10)
+
+
 @pytest.mark.parametrize("block", [1, 2, 5, 100])
 def test_scan_of_foreign_files(spark, tmp_path, block):
     rng = random.Random(block)
