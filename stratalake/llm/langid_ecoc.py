@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import spans, text_buffer, tidy
+from stratalake.llm.common import discard, spans, text_buffer, tidy
 
 #: Hashed features; a text's vector has this length.
 BUCKETS = 1 << 13
@@ -187,6 +187,8 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, rounds: int
     cuts = rows.select("lang", "stratum", "h").distinct().withColumn("k", F.row_number().over(least)).where(F.col("k") <= -(-sample // strata)).groupBy("lang", "stratum").agg(F.max("h").alias("cut"))
     rows = rows.join(F.broadcast(cuts), ["lang", "stratum"]).where("h <= cut").select("lang", "text", "h").distinct()
     table = _sparse(rows).toArrow().sort_by([(c, "ascending") for c in ("lang", "h", "at", "share")])
+    # the driver's JVM gives back what sampling took before Python needs the dense table
+    discard(spark)
     # the rows of even places first: the halves are slices, not copies
     table = table.take(pa.array(np.argsort(np.arange(len(table)) % 2, kind="stable")))
     names = table.column("lang").to_pylist()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalake.llm.common import WHITE_SPACE, discard, hash_words, hot_rows, join_counted, materialise, mix, release, shingle_hashes, spans, text_buffer, tidy, word_mask
-from stratalake.llm.components import connected_components
+from stratalake.llm.components import connected_components, contracted
 
 #: Bytes of texts, or of prefixes, that are worked on at a time.
 CHUNK = 1 << 18
@@ -378,7 +378,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     shared = materialise(spark, posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     common = shared.where(F.col("df") > hot_rows(shared, "df")).select("token")
     listed = posted.join(shared.select("token"), "token").join(F.broadcast(common), "token", "left_anti")
-    near = listed.repartition("token").sortWithinPartitions("token", "n", "group_no").mapInArrow(_near(percent), "u long, v long")
+    # written here: two Python functions in one stage would take two workers a core, which stay for all later stages
+    near = materialise(spark, listed.repartition("token").sortWithinPartitions("token", "n", "group_no").mapInArrow(_near(percent), "u long, v long"), "near")
+    edges = near
     if not common.isEmpty():
         # the groups of a very common shingle aren't gathered: each size band's are joined to its least one, and the bands' least ones to each other
         spread = posted.join(F.broadcast(common), "token").withColumn("band", band)
@@ -387,7 +389,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
         above = least.select("token", (F.col("band") - 1).alias("band"), F.col("u").alias("v"))
         near = near.unionByName(stars).unionByName(least.join(above, ["token", "band"]).select("u", "v"))
     families = connected_components(spark, near).select(F.col("node").alias("group_no"), F.col("component").alias("family"))
-    discard(spark, prefixes, shared)
+    discard(spark, prefixes, shared, edges)
     # a group of several classes is a family even where no other group is near it
     crowded = classes.groupBy("group_no").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("group_no")
     families = families.unionByName(crowded.join(families, "group_no", "left_anti").select("group_no", F.col("group_no").alias("family")))
@@ -420,11 +422,10 @@ def _near(percent: int):
     """Edges between groups of one posting list (rows sorted by token and size) that may link.
 
     A short list gives its pairs that fit by size and by the places of the shared shingle. A long one gives a chain of
-    neighbours in order of size: it joins all that fit by size, and is linear.
+    neighbours in order of size: it joins all that fit by size, and is linear. Of a task's edges, stars are left that join the same groups.
     """
 
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
         for batch in batches:
             t, g, n, p = (batch.column(i).to_numpy() for i in range(4))
@@ -448,6 +449,10 @@ def _near(percent: int):
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
 
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from contracted(edges(batches))
+
     return run
 
 

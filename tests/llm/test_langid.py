@@ -34,3 +34,15 @@ def test_fit_reads_whole_texts(spark):
     model = langid_ecoc.fit(spark, spark.createDataFrame(rows, "text string, lang string"))
     odd = spark.createDataFrame([("kuk kuku kuk",), ("zoz zozo zoz",)], "text string")
     assert {r.text[0]: r.lang_pred for r in langid_ecoc.classify(spark, odd, model).collect()} == {"k": "k", "z": "z"}
+
+
+def test_fit_gives_heap_back_first(spark, monkeypatch):
+    """The driver's JVM has collected its garbage when Python comes to the dense table."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    seen, weights = [], langid_ecoc._weights
+    monkeypatch.setattr(langid_ecoc, "_weights", lambda *a: (seen.append(full()), weights(*a))[1])
+    rows = spark.createDataFrame([(f"{x} {x}{k}", x[0]) for k in range(8) for x in ("kuk", "zoz")], "text string, lang string").collect()
+    before = full()
+    langid_ecoc.fit(spark, spark.createDataFrame(rows, "text string, lang string"), rounds=2)
+    assert seen and seen[0] > before

@@ -97,6 +97,19 @@ def test_levels_of_taken_slots(spark, monkeypatch):
     assert "named" in left and not left & {"whole-sig", "numbered", "prefixes", "shared", "members"}
 
 
+def test_one_worker_a_core(spark, monkeypatch):
+    """No stage runs a Python function on another's rows: each would hold a worker of its own in every core."""
+    plans, connected = [], ngram_jaccard.connected_components
+
+    def seen(spark, edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return connected(spark, edges)
+
+    monkeypatch.setattr(ngram_jaccard, "connected_components", seen)
+    ngram_jaccard.jaccard_components(spark, frame(spark, near_copies())).collect()
+    assert len(plans) == 2 and not any("MapInArrow" in p for p in plans)
+
+
 def test_components_of_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
